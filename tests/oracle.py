@@ -17,8 +17,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 KINDS = {
-    "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "integer": "int", "hugeint": "int",
-    "double": "float", "float": "float", "string": "text", "varchar": "text", "boolean": "bool",
+    "tinyint": "int8", "smallint": "int16", "int": "int32", "integer": "int32", "bigint": "int64",
+    "double": "float64", "float": "float32", "string": "text", "varchar": "text", "boolean": "bool",
     "timestamp": "time", "timestamp_ntz": "time", "date": "date", "blob": "bytes", "binary": "bytes",
 }
 
@@ -82,7 +82,7 @@ def main(folder: str, wanted: list[str]) -> int:
     from quillwork.session import build_session
 
     load_all()
-    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = 0
