@@ -33,7 +33,7 @@ def src_json_inferred(spark, sf):
     return tables.read_json(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
-@query("src_json_schema", _GAPS)
+@query("src_json_schema", f"SELECT * REPLACE (CAST(o_custkey AS INTEGER) AS o_custkey) FROM ({_GAPS})")
 def src_json_schema(spark, sf):
     path = writers.write_fresh(_orders_with_gaps(spark, sf), "json", "json")
     schema = T.StructType(
@@ -60,7 +60,9 @@ def src_csv_inferred(spark, sf):
         F.col("o_orderdate").cast("date").alias("ordered_on"),
         "o_orderpriority",
     )
-    return tables.read_csv(spark, writers.write_fresh(rows, "csv", "csv", header=True))
+    back = tables.read_csv(spark, writers.write_fresh(rows, "csv", "csv", header=True))
+    # the inferred width of the key depends on its largest value
+    return back.withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
 
 @query(
@@ -106,7 +108,7 @@ def src_libsvm(spark, sf):
 
 @query(
     "src_inline",
-    """SELECT r.urgency, count(*) AS n
+    """SELECT CAST(r.urgency AS BIGINT) AS urgency, count(*) AS n
        FROM orders o JOIN (VALUES ('1-URGENT', 5), ('2-HIGH', 4), ('3-MEDIUM', 3), ('4-NOT SPECIFIED', 0),
                                   ('5-LOW', 1)) r(priority, urgency) ON o.o_orderpriority = r.priority
        GROUP BY r.urgency""",

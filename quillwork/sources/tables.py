@@ -35,3 +35,12 @@ def read_delimited(spark: SparkSession, path: str, names: list[str], sep: str =
 def read_libsvm(spark: SparkSession, path: str, features: int) -> DataFrame:
     """Sparse ``label index:value ...`` text; a declared width saves the pass that finds it."""
     return spark.read.format("libsvm").option("numFeatures", str(features)).load(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core for heavy work per row when the input has fewer splits than there are cores.
+
+    Large inputs have more splits than cores and are left as they are, so nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
