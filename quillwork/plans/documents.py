@@ -9,6 +9,7 @@ from quillwork.operators import mentions as mention_ops
 from quillwork.operators import pages as page_ops
 from quillwork.registry import query
 from quillwork.sources import writers
+from quillwork.sources.storage import durable
 from quillwork.sources.tables import spread, table
 
 # Names shorter than this are left out of the dictionary of the driver queries.
@@ -112,7 +113,8 @@ def _links(spark, sf):
 
 
 def _names(spark, sf):
-    return mention_ops.entity_dictionary(_links(spark, sf), MIN_NAME)
+    # used several times by every caller, so it is computed once
+    return durable(mention_ops.entity_dictionary(_links(spark, sf), MIN_NAME))
 
 
 def _documents(spark, sf):
