@@ -98,8 +98,8 @@ def mention_rows(
 ) -> DataFrame:
     """``key, start, end, mention``: one row per name found."""
     named = with_names(texts, key, F.col(text), dictionary, max_words, **options)
-    spans = named.rows.select(key, M.spans_of(F.col(text), named.known, max_words).alias("spans"))
-    return spans.select(key, F.inline("spans").alias("start", "end", "mention"))
+    spans = M.spans_of(F.col(text), named.known, max_words)
+    return named.rows.select(key, F.inline(spans).alias("start", "end", "mention"))
 
 
 def piece_rows(

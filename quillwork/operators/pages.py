@@ -31,9 +31,18 @@ def page_arrays(pages: DataFrame, html: str) -> DataFrame:
     return pages.withColumn("elements", P.elements_of(F.col(html))).drop(html)
 
 
+def unnest(df: DataFrame, key: str, column: str) -> DataFrame:
+    """One row per struct of a computed array; an empty array gives one row of nulls.
+
+    The plain generators make Spark test the array for emptiness first, below the projection that
+    computes it, so that the array would be computed twice.
+    """
+    return df.select(key, F.inline_outer(column))
+
+
 def element_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per element."""
-    return pages.select(key, F.inline("elements"))
+    return unnest(pages, key, "elements").where(F.col("path").isNotNull())
 
 
 def gather_pages(elements: DataFrame, key: str = "page_id") -> DataFrame:
@@ -75,9 +84,12 @@ def child_at(elements: DataFrame, ordinal: int, under: list[int] | None = None)
 def heading_paths(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """``key, path, headings``: the sections around each element, outermost first.
 
-    An ancestor's path is a prefix of the element's, so this is an equi-join on the page and the
-    prefix for trees of any depth. Only paths and headings are shuffled.
+    Elements taken from markup carry their headings already. For a bare element table of any depth,
+    an ancestor's path is a prefix of the element's, so this is an equi-join on the page and the
+    prefix; only paths and headings are shuffled.
     """
+    if "headings" in elements.columns:
+        return elements.select(key, "path", "headings")
     sections = elements.where("kind = 'section'").select(
         key, F.col("path").alias("prefix"), F.struct("heading_id", "heading").alias("h")
     )

@@ -1,7 +1,10 @@
-"""Row positions and running totals over a whole table, without a single-task window."""
+"""Row positions and ranks over a whole table, without a single-task window."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,14 +25,16 @@ def _ordered_parts(df: DataFrame, order: list[Column | str]) -> DataFrame:
     )
 
 
-def _offsets(parts: DataFrame, measure: Column) -> Column:
-    """What lies before each part, as an array constant: one number per part reaches the driver."""
+def _part_sizes(parts: DataFrame, measure: Column) -> list[int]:
+    """``measure`` of every part in order: one number per part reaches the driver."""
     sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(measure.alias("n")).collect()}
-    before, total = [], 0
-    for part in range(max(sizes, default=0) + 1):
-        before.append(total)
-        total += sizes.get(part, 0)
-    return F.array(*[F.lit(b).cast("bigint") for b in before])
+    return [sizes.get(part, 0) for part in range(max(sizes, default=0) + 1)]
+
+
+def _before(sizes: list[int]) -> Column:
+    """What lies before the part of a row, looked up in an array constant."""
+    starts = [0, *accumulate(sizes)][: len(sizes)]
+    return F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("_part"))
 
 
 def with_position(
@@ -41,15 +46,27 @@ def with_position(
     sort is a distributed range sort, so no task sees more than its own range.
     """
     parts = _ordered_parts(df, order)
-    position = F.get(_offsets(parts, F.count(F.lit(1))), F.col("_part")) + F.col("_row") + start
+    position = _before(_part_sizes(parts, F.count(F.lit(1)))) + F.col("_row") + start
     return parts.select(*df.columns, position.alias(name))
 
 
-def with_running_total(df: DataFrame, order: list[Column | str], amount: str, name: str) -> DataFrame:
-    """Add the total of ``amount`` over all rows up to and including this one in the whole order."""
+def rows_at_ranks(df: DataFrame, order: list[Column | str], weight: str, ranks: list[int]) -> DataFrame:
+    """The rows that cover given ranks when every row stands for ``weight`` equal rows.
+
+    Adds ``rank``. The totals of the sorted parts tell which parts hold a wanted rank; only those
+    are summed up row by row.
+    """
     parts = _ordered_parts(df, order)
-    before = F.get(_offsets(parts, F.sum(amount)), F.col("_part"))
-    within = F.sum(amount).over(
+    sizes = _part_sizes(parts, F.sum(weight))
+    ends = list(accumulate(sizes))
+    wanted = sorted({r for r in ranks if 0 <= r < (ends[-1] if ends else 0)})
+    holding = sorted({bisect_right(ends, r) for r in wanted})
+    within = F.sum(weight).over(
         Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     )
-    return parts.select(*df.columns, (before + within).alias(name))
+    summed = parts.where(F.col("_part").isin(holding)).withColumn("_upto", _before(sizes) + within)
+    covered = F.filter(
+        F.array(*[F.lit(r).cast("bigint") for r in wanted]).cast("array<bigint>"),
+        lambda r: (r >= F.col("_upto") - F.col(weight)) & (r < F.col("_upto")),
+    )
+    return summed.select(*df.columns, F.explode(covered).alias("rank"))

@@ -8,7 +8,7 @@ from math import ceil, floor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.operators.positions import with_running_total
+from quillwork.operators.positions import rows_at_ranks
 
 
 def _long_rows(structs: list) -> F.Column:
@@ -48,31 +48,23 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> D
         _long_rows([F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
     ).select("_r.*")
     counts = cells.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = with_running_total(counts, ["column_name", "value"], "n", "upto")
     # one row per column
-    totals = {r["column_name"]: r["n"] for r in df.agg(*[F.count(c).alias(c) for c in columns]).select(
-        _long_rows([F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in columns])
-    ).select("_r.*").collect()}
+    present = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     probes, base = [], 0
     for c in sorted(columns):
-        if totals[c]:
-            for share in shares:
-                at = (totals[c] - 1) * share
-                low, high = floor(at), ceil(at)
-                ends = [(low, 1.0)] if low == high else [(low, high - at), (high, at - low)]
-                probes += [(share, base + rank, weight) for rank, weight in ends]
-        base += totals[c]
-    probe_rows = F.array(
-        *[
-            F.struct(F.lit(s).alias("share"), F.lit(p).cast("bigint").alias("rank"), F.lit(w).alias("weight"))
-            for s, p, w in probes
-        ]
-    )
-    start = F.col("upto") - F.col("n")
-    hits = F.filter(probe_rows, lambda p: (p["rank"] >= start) & (p["rank"] < F.col("upto")))
-    met = ranked.where(F.size(hits) > 0).select("column_name", "value", F.explode(hits).alias("p"))
-    return met.groupBy("column_name", F.col("p.share").alias("share")).agg(
-        F.sum(F.col("value") * F.col("p.weight")).alias("value")
+        for share in shares if present[c] else []:
+            at = (present[c] - 1) * share
+            low, high = floor(at), ceil(at)
+            ends = [(low, 1.0)] if low == high else [(low, high - at), (high, at - low)]
+            probes += [(share, base + rank, weight) for rank, weight in ends]
+        base += present[c]
+    met = rows_at_ranks(counts, ["column_name", "value"], "n", [rank for _, rank, _ in probes])
+    plan = df.sparkSession.createDataFrame(probes, "share double, rank bigint, weight double")
+    # two probes at most for each column and share
+    return (
+        met.join(F.broadcast(plan), "rank")
+        .groupBy("column_name", "share")
+        .agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
     )
 
 

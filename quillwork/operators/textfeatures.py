@@ -64,9 +64,9 @@ def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
     Postings are counted before anything else is shuffled. The document frequencies are joined back
     by ``lookup_join``: a term found in very many documents is cut over several tasks.
     """
-    postings = durable(
-        df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    # an inner explode would compute the tokens a second time, to test them for emptiness
+    terms = df.select(key, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
+    postings = durable(terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     frequencies = durable(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     documents = df.count()
     joined = lookup_join(postings, frequencies, ["term"], spread=[key], how="inner")

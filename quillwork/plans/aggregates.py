@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillwork.operators import profile
 from quillwork.registry import query
-from quillwork.sources.tables import table
+from quillwork.sources.tables import spread, table
 
 NUMERIC_ITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -230,7 +230,8 @@ def yearly_max(spark, sf):
        FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word""",
 )
 def word_count(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    words = docs.select(F.explode(F.split("text", " ")).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

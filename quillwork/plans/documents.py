@@ -283,7 +283,7 @@ def synthetic_page(spark, sf):
 
 @query("synthetic_paragraphs")
 def synthetic_paragraphs(spark, sf):
-    paragraphs = _synthetic(spark, sf).select("page_id", F.inline("paragraphs"))
+    paragraphs = page_ops.unnest(_synthetic(spark, sf), "page_id", "paragraphs").where(F.col("path").isNotNull())
     return paragraphs.select("page_id", _dotted(F.col("path")).alias("path"), "para_id", "bodies")
 
 

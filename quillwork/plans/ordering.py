@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillwork.operators.positions import with_position
 from quillwork.registry import query
-from quillwork.sources.tables import table
+from quillwork.sources.tables import spread, table
 
 
 @query(
@@ -56,7 +56,8 @@ def argmax_row(spark, sf):
        GROUP BY token ORDER BY n DESC, token LIMIT 10""",
 )
 def topk_tokens(spark, sf):
-    tokens = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("token"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    tokens = docs.select(F.explode(F.split("text", " ")).alias("token"))
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(10)
 
 

@@ -23,6 +23,8 @@ def build_session(name: str = "quillwork", master: str | None = None, **extra: s
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
+        # checkpoint files go when the table that needed them is gone
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
