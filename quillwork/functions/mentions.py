@@ -44,12 +44,12 @@ def _phrase(gaps: Column, words: Column, i: Column, length: int) -> Column:
 def candidates_of(text: Column, max_words: int) -> Column:
     """Distinct lower-case phrases of up to ``max_words`` words that could be names."""
 
+    def of_length(t: Column, n: int) -> Column:
+        return F.transform(t["lower"], lambda w, i: F.when(w != "", _phrase(t["gaps"], t["lower"], i, n)))
+
     def phrases(t: Column) -> Column:
-        by_length = [
-            F.transform(t["lower"], lambda w, i, n=n: F.when(w != "", _phrase(t["gaps"], t["lower"], i, n)))
-            for n in range(1, max_words + 1)
-        ]
-        return F.array_compact(F.array_distinct(F.concat(*by_length)))
+        every = F.concat(*[of_length(t, n) for n in range(1, max_words + 1)])
+        return F.array_compact(F.array_distinct(every))
 
     return let(_tokens(text), phrases)
 

@@ -19,19 +19,16 @@ def recode(df: DataFrame, column: str, names: dict, out: str, default: str | Non
     return joined.select(*df.columns, F.coalesce(F.col(out), F.lit(default)).alias(out))
 
 
-def with_statistics(df: DataFrame, **statistics: Column) -> DataFrame:
-    """Add whole-table aggregates to every row: one aggregate row, joined on a constant key."""
-    one = df.agg(*[s.alias(n) for n, s in statistics.items()]).withColumn("_all", F.lit(1))
-    return df.withColumn("_all", F.lit(1)).join(F.broadcast(one), "_all").drop("_all")
+def statistics(df: DataFrame, **measures: Column) -> Column:
+    """Whole-table aggregates as the fields of one scalar subquery, usable in any expression."""
+    return df.agg(F.struct(*[m.alias(n) for n, m in measures.items()])).scalar()
 
 
 def affine_rescale(df: DataFrame, column: str, out: str, new_mean: float) -> DataFrame:
     """Standardise, then stretch by (old mean / 4.1) and shift to ``new_mean``."""
-    stats = with_statistics(df, _mean=F.avg(column), _std=F.stddev_samp(column))
-    standard = F.try_divide(F.col(column) - F.col("_mean"), F.col("_std"))
-    return stats.withColumn(out, standard * (F.col("_mean") / F.lit(4.1)) + F.lit(new_mean)).drop(
-        "_mean", "_std"
-    )
+    s = statistics(df, mean=F.avg(column), std=F.stddev_samp(column))
+    standard = F.try_divide(F.col(column) - s["mean"], s["std"])
+    return df.withColumn(out, standard * (s["mean"] / F.lit(4.1)) + F.lit(new_mean))
 
 
 def minmax_rescale(
@@ -39,9 +36,9 @@ def minmax_rescale(
 ) -> DataFrame:
     """Map the column's own range onto ``span`` and round."""
     low, high = span
-    stats = with_statistics(df, _low=F.min(column), _high=F.max(column))
-    share = F.try_divide(F.col(column) - F.col("_low"), F.col("_high") - F.col("_low"))
-    return stats.withColumn(out, F.round(share * (high - low) + low, digits)).drop("_low", "_high")
+    s = statistics(df, low=F.min(column), high=F.max(column))
+    share = F.try_divide(F.col(column) - s["low"], s["high"] - s["low"])
+    return df.withColumn(out, F.round(share * (high - low) + low, digits))
 
 
 def banded(

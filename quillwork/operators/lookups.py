@@ -17,11 +17,13 @@ SALTS = 64
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size: eight bytes a cell plus the bytes of the text cells."""
-    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    """Upper estimate of the in-memory size: 8 bytes a cell, the bytes of texts, nested cells as text."""
     per_row = F.lit(8 * len(df.columns) + 16)
-    for cell in text:
-        per_row = per_row + cell
+    for name, kind in df.dtypes:
+        if kind == "string":
+            per_row = per_row + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            per_row = per_row + 2 * F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
     return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).cast("bigint")).first()[0]
 
 

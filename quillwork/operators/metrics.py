@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.operators.lookups import lookup_join
+
 
 def regression_metrics(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     """``mse, rmse, r2`` in one pass."""
@@ -48,11 +50,11 @@ def weighted_f1(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     return classes.agg(F.try_divide(F.sum(F.col("actual") * f1), F.sum("actual")).alias("f1"))
 
 
-def within_set_squares(points: DataFrame, vector: str, cluster: str) -> DataFrame:
+def within_set_squares(points: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
     """Sum over all points of the squared distance to the mean of their cluster.
 
     Means are taken per cluster and slot, so a large cluster is summed on many tasks; what is joined
-    back is one row per cluster.
+    back is one row per cluster, and a large cluster may meet it on many tasks.
     """
     slots = points.select(cluster, F.posexplode(vector).alias("slot", "v"))
     means = slots.groupBy(cluster, "slot").agg(F.avg(F.col("v").cast("double")).alias("m"))
@@ -61,4 +63,4 @@ def within_set_squares(points: DataFrame, vector: str, cluster: str) -> DataFram
     )
     gaps = F.zip_with(F.col(vector), F.col("centre"), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
     cost = F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g)
-    return points.join(centres, cluster).agg(F.sum(cost).alias("wssse"))
+    return lookup_join(points, centres, [cluster], spread=[key], how="inner").agg(F.sum(cost).alias("wssse"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import mentions as M
 from quillwork.functions import pages as P
 from quillwork.functions.arrays import let, prefix_sums, runs
+from quillwork.operators.lookups import lookup_join
 from quillwork.operators.mentions import STUB_ID, STUB_NAME, NamedRows, with_names
 
 # Page type tags.
@@ -98,7 +99,7 @@ def heading_paths(elements: DataFrame, key: str = "page_id") -> DataFrame:
         key, "path", F.explode(F.transform(lengths, lambda n: F.slice("path", F.lit(1), n))).alias("prefix")
     )
     chains = (
-        prefixes.join(sections, [key, "prefix"])
+        lookup_join(prefixes, sections, [key, "prefix"], spread=["path"], how="inner")
         .groupBy(key, "path")
         .agg(F.array_sort(F.collect_list(F.struct("prefix", "h"))).alias("chain"))
         .select(key, "path", F.transform("chain", lambda c: c["h"]).alias("headings"))

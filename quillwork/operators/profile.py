@@ -94,11 +94,6 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
-    """Rows and share of every class; one scan, then a sum over the class rows.
-
-    The class rows are summed by a join on a constant, not by a single-partition window.
-    """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total")).withColumn("_all", F.lit(1))
-    both = counts.withColumn("_all", F.lit(1)).join(F.broadcast(total), "_all")
-    return both.select(label, "n", (F.col("n") / F.col("_total")).alias("share"))
+    """Rows and share of every class."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).select(label, "n", (F.col("n") / total).alias("share"))

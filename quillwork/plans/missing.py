@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillwork.operators.columns import with_statistics
+from quillwork.operators.columns import statistics
 from quillwork.registry import query
 from quillwork.sources.tables import table
 
@@ -98,5 +98,5 @@ def na_fill_subset(spark, sf):
 )
 def fill_mean(spark, sf):
     balances = _with_gaps(spark, sf).select("c_custkey", "c_acctbal")
-    filled = with_statistics(balances, _mean=F.avg("c_acctbal"))
-    return filled.select("c_custkey", F.round(F.coalesce("c_acctbal", "_mean"), 4).alias("c_acctbal"))
+    mean = statistics(balances, mean=F.avg("c_acctbal"))["mean"]
+    return balances.select("c_custkey", F.round(F.coalesce(F.col("c_acctbal"), mean), 4).alias("c_acctbal"))

@@ -118,8 +118,8 @@ def metric_f1(spark, sf):
        SELECT round(sum((v - m) * (v - m)), 6) AS wssse FROM e JOIN c USING (label, slot)""",
 )
 def metric_wssse(spark, sf):
-    points = table(spark, sf, "embeddings").select("embedding", "label")
-    return metrics.within_set_squares(points, "embedding", "label").select(F.round("wssse", 6).alias("wssse"))
+    points = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    return metrics.within_set_squares(points, "vec_id", "embedding", "label").select(F.round("wssse", 6).alias("wssse"))
 
 
 def _counts(spark, sf):
