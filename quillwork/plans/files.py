@@ -249,7 +249,7 @@ def schema_profile(spark, sf):
 )
 def ingest_metrics(spark, sf):
     metrics = writers.observed_write(
-        _page_rows(spark, sf, 100),
+        _page_rows(spark.newSession(), sf, 100),
         "page-rows",
         rows_done=F.count(F.lit(1)),
         chunks_done=F.max("chunk") + 1,

@@ -44,7 +44,11 @@ def write_chunks(rows: DataFrame, label: str) -> str:
 
 
 def observed_write(df: DataFrame, label: str, **metrics: Column) -> dict:
-    """Write ``df`` and return the metrics gathered while the rows went by, without a second pass."""
+    """Write ``df`` and return the metrics gathered while the rows went by, without a second pass.
+
+    ``df`` should come from a session of its own (``spark.newSession()``): a session that has
+    observed a table can no longer be shipped with the closures of some model summaries.
+    """
     seen = Observation(label)
     write_fresh(df.observe(seen, *[m.alias(n) for n, m in metrics.items()]), label)
     return seen.get

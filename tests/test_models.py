@@ -106,3 +106,9 @@ def test_stop_words_follow_the_language(spark):
     )
     got = {r.id: r.kept for r in T.remove_stopwords(df, "t", "lang").collect()}
     assert got == {1: ["dog"], 2: ["the", "Hund"], 3: ["the", "und"]}
+
+
+def test_models_can_be_fitted_after_an_observed_write(spark, sf):
+    assert QUERIES["ingest_metrics"](spark, sf).count() == 1
+    assert QUERIES["ml_logistic_regression"](spark, sf).count() == 9
+    assert QUERIES["ml_model_compare"](spark, sf).count() == 3
