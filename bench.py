@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR names the input folder, BENCH_CPUS the local threads. Every query runs to a sink that
-takes all rows and keeps none; the figure is the median of BENCH_RUNS runs after one warm-up run.
+takes all rows and keeps none; the figure is the median of BENCH_RUNS runs after one warm-up run
+(one run for a query whose warm-up run took over five seconds).
 ``python bench.py NAME ...`` times other queries; ``all`` times every registered query.
 """
 
@@ -72,7 +73,7 @@ def main(wanted: list[str]) -> None:
     seconds = {}
     for key in keys:
         first = run(spark, key, folder)
-        times = [run(spark, key, folder) for _ in range(runs)] or [first]
+        times = [run(spark, key, folder) for _ in range(runs if first < 5 else 1)]
         seconds[key] = round(statistics.median(times), 3)
         print(f"{key}: {seconds[key]} (first run {first:.2f})", file=sys.stderr, flush=True)
     print(

@@ -98,6 +98,27 @@ placed AS (
   FROM tokens t LEFT JOIN names n ON n.surface = lower(t.word) AND t.word <> '')"""
 )
 
+_PARAGRAPHS = (
+    _NAMES
+    + r""",
+etokens AS (
+  SELECT page_id, path,
+         unnest(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 1)) AS gap,
+         unnest(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 2)) AS word,
+         generate_subscripts(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 2), 1) AS i
+  FROM elements WHERE kind <> 'section'),
+eplaced AS (
+  SELECT t.*, n.surface IS NOT NULL AS hit, n.entity_id, n.entity_name,
+         sum(length(gap) + length(word)) OVER (PARTITION BY page_id, path ORDER BY i) AS end_at
+  FROM etokens t LEFT JOIN names n ON n.surface = lower(t.word) AND t.word <> ''),
+cut AS (
+  SELECT page_id, path, count(*) FILTER (WHERE hit) AS n_links,
+         string_agg(gap || CASE WHEN hit THEN '[' || word || '](' || entity_id || ')' ELSE word END, '' ORDER BY i) AS linked,
+         string_agg(word || '@' || (end_at - length(word)) || '-' || end_at || '>' || entity_id, ';' ORDER BY i)
+           FILTER (WHERE hit) AS links
+  FROM eplaced GROUP BY page_id, path)"""
+)
+
 
 def _pages(spark, sf):
     pages = spread(table(spark, sf, "pages"), "page_id")
@@ -281,10 +302,27 @@ def synthetic_page(spark, sf):
     return _synthetic(spark, sf).select("page_id", "url", "elements")
 
 
-@query("synthetic_paragraphs")
+@query(
+    "synthetic_paragraphs",
+    f"""WITH {_PARAGRAPHS}
+        SELECT e.page_id, e.path, md5(e.text) AS para_id, CAST(coalesce(c.n_links, 0) AS INTEGER) AS n_links,
+               coalesce(c.linked, '') AS linked
+        FROM elements e LEFT JOIN cut c USING (page_id, path) WHERE e.kind <> 'section'""",
+)
 def synthetic_paragraphs(spark, sf):
     paragraphs = page_ops.unnest(_synthetic(spark, sf), "page_id", "paragraphs").where(F.col("path").isNotNull())
-    return paragraphs.select("page_id", _dotted(F.col("path")).alias("path"), "para_id", "bodies")
+    linked = F.transform(
+        "bodies",
+        lambda b: F.when(b["kind"] == "link", F.concat(F.lit("["), b["text"], F.lit("]("), b["page_id"], F.lit(")")))
+        .otherwise(b["text"]),
+    )
+    return paragraphs.select(
+        "page_id",
+        _dotted(F.col("path")).alias("path"),
+        "para_id",
+        F.size(F.filter("bodies", lambda b: b["kind"] == "link")).alias("n_links"),
+        F.array_join(linked, "").alias("linked"),
+    )
 
 
 @query(
@@ -367,7 +405,50 @@ def inlink_pages(spark, sf):
     return page_ops.inlink_pages(_links(spark, sf))
 
 
-@query("doc_message")
+@query(
+    "doc_message",
+    f"""WITH {_PARAGRAPHS},
+        contents AS (
+          SELECT e.page_id, count(*) AS n, sum(coalesce(c.n_links, 0)) AS n_links,
+                 string_agg(CASE kind WHEN 'list' THEN 'LIST' ELSE 'PARAGRAPH' END || '|' || coalesce(s.heading, '') || '|'
+                            || e.text || '|' || coalesce(c.links, ''), chr(10) || chr(10) ORDER BY e.top, e.sub) AS contents
+          FROM elements e LEFT JOIN cut c USING (page_id, path)
+               LEFT JOIN (SELECT page_id, top, text AS heading FROM elements WHERE kind = 'section') s
+                 ON s.page_id = e.page_id AND s.top = e.top AND e.sub >= 0
+          WHERE e.kind <> 'section' GROUP BY e.page_id),
+        totals AS (
+          SELECT page_id, string_agg(entity_id || '=' || word || ':' || n, ',' ORDER BY entity_id, entity_name, word) AS totals
+          FROM (SELECT page_id, entity_id, entity_name, word, count(*) AS n FROM eplaced WHERE hit GROUP BY 1, 2, 3, 4)
+          GROUP BY page_id)
+        SELECT CAST(page_id AS VARCHAR) AS doc_id, url AS doc_name, CAST(coalesce(n, 0) AS INTEGER) AS n_contents,
+               coalesce(contents, '') AS contents, coalesce(totals, '') AS link_totals
+        FROM pages LEFT JOIN contents USING (page_id) LEFT JOIN totals USING (page_id)""",
+)
 def doc_message(spark, sf):
     messages = page_ops.document_messages(_synthetic(spark, sf), "page_id", "url")
-    return spark.read.parquet(writers.write_fresh(messages, "document-messages"))
+    stored = spark.read.parquet(writers.write_fresh(messages, "document-messages"))
+
+    def link(k):
+        at = k["anchor_text_location"]
+        span = F.concat(at["start"].cast("string"), F.lit("-"), at["end"].cast("string"))
+        return F.concat(k["anchor_text"], F.lit("@"), span, F.lit(">"), k["entity_id"])
+
+    def content(c):
+        heading = F.coalesce(c["section_heading_name"], F.lit(""))
+        links = F.array_join(F.transform(c["entity_links"], link), ";")
+        return F.concat_ws("|", c["objects_type"], heading, c["text"], links)
+
+    def total(t):
+        return F.transform(
+            t["anchor_text_frequency"],
+            lambda a: F.concat(t["entity_id"], F.lit("="), a["anchor_text"], F.lit(":"), a["frequency"].cast("string")),
+        )
+
+    # the stored records are nested; they are flattened here to be compared
+    return stored.select(
+        "doc_id",
+        "doc_name",
+        F.size("document_contents").alias("n_contents"),
+        F.array_join(F.transform("document_contents", content), "\n\n").alias("contents"),
+        F.array_join(F.flatten(F.transform("entity_link_totals", total)), ",").alias("link_totals"),
+    )

@@ -19,12 +19,15 @@ def write_fresh(df: DataFrame, label: str, file_format: str = "parquet", **optio
 def page_rows(
     pages: DataFrame, page_id: str, page_name: str, content: str, rows_per_chunk: int = 100_000
 ) -> DataFrame:
-    """``idx, chunk, page_id, page_name, content``: pages numbered in id order and cut into chunks."""
+    """``idx, chunk, page_id, page_name, content``: pages numbered in id order and cut into chunks.
+
+    Only the ids, which are unique, are sorted and numbered; the contents meet their number in a join.
+    """
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(page_name).alias("page_name"), F.col(content).alias("content")
     )
-    numbered = with_position(rows, ["page_id"], "idx")
-    return numbered.select(
+    numbered = with_position(rows.select("page_id"), ["page_id"], "idx")
+    return rows.join(numbered, "page_id").select(
         "idx",
         F.floor(F.col("idx") / rows_per_chunk).cast("bigint").alias("chunk"),
         "page_id",

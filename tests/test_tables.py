@@ -1,6 +1,7 @@
 """Positions, ranks, lookups, quantiles and records on skewed and small tables."""
 
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -110,12 +111,24 @@ def test_a_second_write_to_the_same_path_fails(spark, tmp_path, monkeypatch):
         writers.write_fresh(spark.range(3), "x")
 
 
-def test_shared_folder_follows_the_setting(spark, tmp_path):
-    folder = str(tmp_path / "shared")
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else pytest.skip("fixed at start")
-    try:
-        assert storage.fresh_path(spark, "a").startswith(folder)
-        assert storage.fresh_path(spark, "a") != storage.fresh_path(spark, "a")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def fake_session(master, setting=None):
+    known = {}
+    context = SimpleNamespace(
+        master=master, getCheckpointDir=lambda: known.get("dir"), setCheckpointDir=lambda d: known.update(dir=d)
+    )
+    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: setting or default))
+
+
+def test_shared_folder_follows_the_setting():
+    session = fake_session("spark://host:7077", "/shared/folder")
+    assert storage.shared_folder(session) == "/shared/folder"
+    assert session.sparkContext.getCheckpointDir() == "/shared/folder"
+    assert storage.fresh_path(session, "a").startswith("/shared/folder/")
+    assert storage.fresh_path(session, "a") != storage.fresh_path(session, "a")
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(fake_session("spark://host:7077"))
+    local = fake_session("local[2]")
+    assert storage.shared_folder(local) == storage.shared_folder(local)
