@@ -14,12 +14,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.stopwords import STOP_WORDS
 from quillwork.operators.lookups import lookup_join
 from quillwork.sources.storage import durable
 
-# Language codes of the input and the names of Spark's stop-word lists.
-STOP_LISTS = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}
-
 
 def tokenize(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
     """Lower-case words between single white-space characters."""
@@ -38,14 +36,13 @@ def remove_stopwords(df: DataFrame, tokens: str, lang: str, out: str = "kept") -
     Rows of a language without a list keep all tokens.
     """
     none = F.array().cast("array<string>")
-    parts = {code: (f"_in_{code}", f"_out_{code}") for code in STOP_LISTS}
+    parts = {code: (f"_in_{code}", f"_out_{code}") for code in STOP_WORDS}
     staged = df.withColumns(
         {i: F.when(F.col(lang) == code, F.col(tokens)).otherwise(none) for code, (i, _) in parts.items()}
     )
     for code, (i, o) in parts.items():
-        words = StopWordsRemover.loadDefaultStopWords(STOP_LISTS[code])
-        staged = StopWordsRemover(inputCol=i, outputCol=o, stopWords=words).transform(staged)
-    other = F.when(F.coalesce(F.col(lang), F.lit("")).isin(*STOP_LISTS), none).otherwise(F.col(tokens))
+        staged = StopWordsRemover(inputCol=i, outputCol=o, stopWords=STOP_WORDS[code]).transform(staged)
+    other = F.when(F.coalesce(F.col(lang), F.lit("")).isin(*STOP_WORDS), none).otherwise(F.col(tokens))
     kept = F.concat(*[F.col(o) for _, o in parts.values()], other)
     return staged.select(*df.columns, kept.alias(out))
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import cache
-from pathlib import Path
-
-import pyspark
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from quillwork.functions.stopwords import STOP_WORDS
 from quillwork.operators import textfeatures as T
 from quillwork.registry import query
 from quillwork.sources.tables import spread, table
@@ -51,21 +47,12 @@ def text_regex_tokenize(spark, sf):
     return both.select("doc_id", _joined("words").alias("words"), F.size("matches").alias("n_matches"))
 
 
-@cache
-def _stop_list(name: str) -> list[str]:
-    """Spark's own list, read from the library that ships it."""
-    (jar,) = Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar")
-    with zipfile.ZipFile(jar) as z:
-        return z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode("utf-8").split("\n")
-
-
 def _stopword_sql() -> str:
-    def quoted(name):
-        words = sorted({w.strip().lower() for w in _stop_list(name) if w.strip()})
+    def quoted(words):
         return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
     kept = " ".join(
-        f"WHEN '{code}' THEN [x for x in t if x NOT IN ({quoted(name)})]" for code, name in T.STOP_LISTS.items()
+        f"WHEN '{code}' THEN [x for x in t if x NOT IN ({quoted(words)})]" for code, words in STOP_WORDS.items()
     )
     return f"""SELECT doc_id, array_to_string(CASE lang {kept} ELSE t END, '|') AS kept
                FROM (SELECT doc_id, lang, {_TOKENS} AS t FROM documents)"""
