@@ -76,7 +76,7 @@ class Prefix:
         n = len(self.sums) - width
         if n <= 0:
             return np.empty(0, dtype=np.uint64)
-        return mix((self.sums[width:] - self.sums[:n]) * Prefix._inverses[:n] + np.uint64(width) * _STEPS[0])
+        return mix((self.sums[width : width + n] - self.sums[:n]) * Prefix._inverses[:n] + _STEPS[1])
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
