@@ -34,7 +34,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def by_bytes(batches, column: int, limit: int = 4 << 20):
+def by_bytes(batches, column: int, limit: int = 1 << 20):
     """Slices of record batches with about ``limit`` bytes of text; at least one row each."""
     for batch in batches:
         if not batch.num_rows:

@@ -1,9 +1,9 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Equal shingle sets become one class. Classes with the same smallest shingle form a group, cut where
-it is large. The matrix says which tokens a group holds. Two sets of the wanted similarity share a
+Equal shingle sets become one class. Classes with the same smallest shingle (of frequent ones, where
+these prevail) form a group, cut where it is large. The matrix says which tokens a group holds. Two sets of the wanted similarity share a
 token among the first few of each in any common order, so only groups that share such a token meet;
-tokens that are frequent among those first ones go to the end of the order, by a bitmap of fixed size.
+tokens that prove frequent go to the end of the order, by a bitmap of fixed size.
 Of a pair of groups, a set whose overlap with the other group's token union is too small is left out,
 and the group is opened for the others: overlaps with its members are counted token by token, and
 decided exactly.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.bitmaps import bitmap, contains
-from quillwork.llm.common import stored
+from quillwork.llm.common import slices, stored
 from quillwork.llm.components import Forest, components
 from quillwork.llm.hashing import by_bytes, shingles
 from quillwork.llm.registry import llm_query
@@ -27,8 +27,12 @@ from quillwork.sources.tables import table
 
 #: Classes in a group.
 GROUP_CLASSES = 256
-#: First tokens are frequent when more sets than this have them among their first.
+#: Tokens counted more often than this are frequent.
 FREQUENT = 64
+#: Tokens that a task counts at once.
+HELD_TOKENS = 600_000
+#: Texts counted at once that must share a token outside their first ones for it to be counted there.
+SHARED_TEXTS = 3
 
 
 def _need(n: int, percent: int) -> int:
@@ -45,21 +49,49 @@ def _first(tokens: np.ndarray, percent: int, frequent: np.ndarray | None) -> np.
     return tokens[: len(tokens) - _need(len(tokens), percent) + 1]
 
 
+def _head(tokens: np.ndarray, frequent: np.ndarray) -> int | None:
+    """The token by which a set is grouped. Where frequent ones prevail, a rare one would set similar sets apart."""
+    if not len(tokens):
+        return None
+    late = contains(frequent, tokens)
+    return int((tokens[late] if 2 * late.sum() >= len(tokens) else tokens)[:1].view(np.int64)[0])
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, n, d1, d2, head, first``: set size, digest, smallest token and first tokens per row."""
+def frequent_tokens(docs: DataFrame, width: int, percent: int) -> np.ndarray:
+    """A bitmap of the tokens that go to the end of the order."""
+
+    def counts(batches):
+        """First tokens, once per text, and any token that several of about a thousand texts share."""
+        sets, held = [], 0
+
+        def counted():
+            every, times = np.unique(np.concatenate(sets), return_counts=True)
+            every, times = every[times >= SHARED_TEXTS], times[times >= SHARED_TEXTS]
+            first = np.concatenate([_first(s, percent, None) for s in sets])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([first, every]).view(np.int64)),
+                 pa.array(np.concatenate([np.ones(len(first), dtype=np.int64), times.astype(np.int64)]))], names=["token", "n"])
 
-    def firsts(batches):
         for batch in by_bytes(batches, 1):
-            parts = [_first(s, percent, None) for s in shingles(batch.column(1), width) if len(s)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], names=["token"])
+            new = [s for s in shingles(batch.column(1), width) if len(s)]
+            sets += new
+            held += sum(map(len, new))
+            if held > HELD_TOKENS:
+                yield counted()
+                sets, held = [], 0
+        if sets:
+            yield counted()
 
-    counted = docs.mapInArrow(firsts, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    frequent = docs.sparkSession.sparkContext.broadcast(bitmap(counted.where(F.col("n") > FREQUENT), "token"))
+    counted = docs.mapInArrow(counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return bitmap(counted.where(F.col("n") > FREQUENT), "token")
+
+
+def signatures(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """``doc_id, n, d1, d2, head, first``: set size, digest, grouping token and first tokens per row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
                         ("head", pa.int64()), ("first", pa.list_(pa.int64()))])
 
@@ -69,7 +101,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for tokens in shingles(batch.column(1), width):
                 digest = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 first = _first(tokens, percent, frequent.value).view(np.int64) if len(tokens) else []
-                head = int(tokens[:1].view(np.int64)[0]) if len(tokens) else None
+                head = _head(tokens, frequent.value)
                 rows.append((len(tokens), int(digest[0]), int(digest[1]), head, first))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
@@ -77,12 +109,39 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, head long, first array<long>")
 
 
-def open_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes, found pair by pair of groups.
+def group_blocks(sets: DataFrame) -> DataFrame:
+    """``g, ids, sizes, tokens``: the sets (columns g, id, tokens) of a group packed into one row."""
+    schema = pa.schema([("g", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())])
 
-    ``sets`` has x, y (the pair), side (0: queries, 1: the group; a group paired with itself has side 0
-    only), id and tokens. Rows of a pair stand together; a pair has few members, so it fits in memory.
-    """
+    def pack(batches):
+        current, rows = None, []
+
+        def packed():
+            ids = np.array([r[0] for r in rows], dtype=np.int64)
+            sizes = np.array([len(r[1]) // 8 for r in rows], dtype=np.int64)
+            cells = (current, ids.tobytes(), sizes.tobytes(), b"".join(r[1] for r in rows))
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, schema)], schema=schema)
+
+        for batch in batches:
+            for g, key, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if current != g:
+                    if rows:
+                        yield packed()
+                    current, rows = g, []
+                rows.append((key, raw))
+        if rows:
+            yield packed()
+
+    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        sets.repartition(width, "g").sortWithinPartitions("g", "id").select("g", "id", "tokens")
+        .mapInArrow(pack, "g long, ids binary, sizes binary, tokens binary")
+    )
+
+
+def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links between classes from rows of two blocks (ids, sizes, tokens and the other's o_ids, o_sizes,
+    o_tokens); a group paired with itself has no other block."""
 
     def links_of(left, right, own: bool):
         """Each left set against the group on the right; sets already joined are not linked twice."""
@@ -116,33 +175,20 @@ def open_groups(sets: DataFrame, percent: int) -> DataFrame:
                     out.append((a, ids[j]))
         return out
 
-    def run(batches):
-        pair, sides, found = None, ([], []), []
-
-        def finish():
-            left, right = sides
-            found.extend(links_of(left, right or left, not right))
+    def members(ids, sizes, tokens):
+        cuts = np.cumsum(np.frombuffer(sizes, dtype=np.int64))[:-1]
+        return list(zip(np.frombuffer(ids, dtype=np.int64).tolist(), np.split(np.frombuffer(tokens, dtype=np.uint64), cuts)))
 
-        for batch in batches:
-            for x, y, side, key, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if pair != (x, y):
-                    if pair is not None and sides[0] and (sides[1] or pair[0] == pair[1]):
-                        finish()
-                    pair, sides = (x, y), ([], [])
-                sides[side].append((key, np.frombuffer(raw, dtype=np.uint64)))
+    def run(batches):
+        for batch in slices(batches, 64):
+            found = []
+            for *one, o_ids, o_sizes, o_tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                left = members(*one)
+                found += links_of(left, left, True) if o_ids is None else links_of(left, members(o_ids, o_sizes, o_tokens), False)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-                found = []
-        if pair is not None and sides[0] and (sides[1] or pair[0] == pair[1]):
-            finish()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        sets.repartition(width, "x", "y").sortWithinPartitions("x", "y", "side", "id")
-        .mapInArrow(run, "a long, b long")
-    )
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(
@@ -157,56 +203,77 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     rows = _sets(docs, doc_id, text)
-    signed = stored(signatures(rows, width, percent), "signatures")
+    frequent = spark.sparkContext.broadcast(frequent_tokens(rows, width, percent))
+    signed = stored(signatures(rows, width, percent, frequent), "signatures")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     heads = full.join(classes.select("id", "d1", "d2"), (F.col("id") == F.col("doc_id")) & (full["d1"] == classes["d1"]) & (full["d2"] == classes["d2"]), "left_semi")
-    crowded = (
-        heads.groupBy("head").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > GROUP_CLASSES)
-        .select("head", F.ceil(F.col("_k") / GROUP_CLASSES).cast("int").alias("_cuts"))
-    )
-    piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("_cuts", F.lit(1)))
-    member = stored(
-        heads.join(crowded, "head", "left")
-        .select(F.col("doc_id").alias("id"), "n", F.xxhash64("head", piece).alias("g"), "first"),
-        "classes",
-    )
-    cells = (
-        member.select("g", "n", F.posexplode("first").alias("at", "token"))
-        .groupBy("token", "g")
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    # similar sets have sizes of one band or of neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    crowded = stored(
+        heads.groupBy("head", band.alias("_band")).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > GROUP_CLASSES)
+        .select("head", "_band", F.ceil(F.col("_k") / GROUP_CLASSES).cast("int").alias("_cuts")),
+        "crowded",
     )
+
+    def grouped(sets: DataFrame, key: str) -> DataFrame:
+        piece = F.pmod(F.xxhash64(key), F.coalesce("_cuts", F.lit(1)))
+        return sets.withColumn("_band", band).join(crowded, ["head", "_band"], "left").withColumn(
+            "g", F.xxhash64("head", "_band", piece)
+        )
+
+    member = stored(grouped(heads, "doc_id").select(F.col("doc_id").alias("id"), "n", "g", "first"), "classes")
+    cells = member.select(F.explode("first").alias("token"), "g").distinct()
     met = cells.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     matrix = stored(cells.join(met, "token", "left_semi"), "matrix")
-    left = matrix.select("token", *[F.col(c).alias(f"x_{c}") for c in ("g", "least", "most", "rest")])
-    right = matrix.select("token", *[F.col(c).alias(f"y_{c}") for c in ("g", "least", "most", "rest")])
-    # overlap of similar sets is at least percent / (100 + percent) of their summed sizes
+    sizes = member.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    shared = (
+        matrix.select("token", F.col("g").alias("x")).join(matrix.select("token", F.col("g").alias("y")), "token")
+        .where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+        .join(sizes.toDF("x", "x_least", "x_most"), "x").join(sizes.toDF("y", "y_least", "y_most"), "y")
+    )
+    # Sets of sizes n <= m need an overlap of percent / (100 + percent) * (n + m). Of it, the c shared
+    # first tokens are known; all other tokens of the one whose first tokens end earlier come later,
+    # at most percent / 100 * m of them.
+    smaller, larger = F.least("x_least", "y_least"), F.greatest("x_most", "y_most")
+    missing = 100 * percent * (smaller + larger) - percent * (100 + percent) * larger
     possible = (
-        (F.col("x_g") < F.col("y_g"))
-        & (100 * F.col("x_most") >= percent * F.col("y_least"))
+        (100 * F.col("x_most") >= percent * F.col("y_least"))
         & (100 * F.col("y_most") >= percent * F.col("x_least"))
-        & ((100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_least") + F.col("y_least")))
+        & (100 * (100 + percent) * F.col("c") >= missing)
     )
-    across = left.join(right, "token").where(possible).select(F.col("x_g").alias("x"), F.col("y_g").alias("y")).distinct()
+    across = shared.where(possible).select("x", "y")
     inside = member.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("g").alias("x"), F.col("g").alias("y"))
     pairs = stored(across.unionByName(inside), "pairs")
-    sides = pairs.select("x", "y", F.lit(0).alias("side"), F.col("x").alias("g")).unionByName(
-        pairs.where("x <> y").select("x", "y", F.lit(1).alias("side"), F.col("y").alias("g"))
-    )
-    places = sides.join(member.select("g", "id"), "g").select("x", "y", "side", "id")
-    needed = member.join(sides.select("g").distinct(), "g", "left_semi").select("id")
+    groups = pairs.select(F.col("x").alias("g")).unionByName(pairs.select(F.col("y").alias("g"))).distinct()
+    needed = member.join(groups, "g", "left_semi").select("id")
     wanted = spark.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("id").alias("h")), "h"))
 
     def tokens(batches):
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("head", pa.int64()), ("tokens", pa.binary())])
         for batch in by_bytes(batches, 2):
             batch = batch.filter(pa.array(contains(wanted.value, batch.column(1).to_numpy(zero_copy_only=False))))
             if batch.num_rows:
-                sets = [s.tobytes() for s in shingles(batch.column(2), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
+                sets = shingles(batch.column(2), width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([_head(s, frequent.value) for s in sets], pa.int64()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
+    # the bitmap may let other documents pass: they are in a group like theirs, and their links are true
     hashed = rows.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
-    sets = hashed.mapInArrow(tokens, "id long, tokens binary").join(needed, "id", "left_semi")
-    links = open_groups(places.join(sets, "id").select("x", "y", "side", "id", "tokens"), percent)
+    sets = hashed.mapInArrow(tokens, "id long, n long, head long, tokens binary").where("n > 0")
+    placed = grouped(sets, "id").select("g", "id", "tokens").join(groups, "g", "left_semi")
+    blocks = stored(group_blocks(placed), "blocks")
+    cells = ("ids", "sizes", "tokens")
+    other = blocks.toDF("y", *[f"o_{c}" for c in cells])
+    own = pairs.where("x = y").join(blocks.withColumnRenamed("g", "x"), "x").select(
+        *cells, *[F.lit(None).cast("binary").alias(f"o_{c}") for c in cells]
+    )
+    two = pairs.where("x <> y").join(blocks.withColumnRenamed("g", "x"), "x").join(other, "y").select(
+        *cells, *[f"o_{c}" for c in cells]
+    )
+    links = open_groups(own.unionByName(two), percent)
     found = components(links)
     ids = full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "id")
     # a doc_id that several texts share joins their classes
