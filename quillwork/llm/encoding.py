@@ -96,10 +96,11 @@ class Encoder:
         short, parted, odd = [], [], []
         for piece in missing:
             # made lower case, some letters gain a mark that is no letter
-            if piece.isalpha() and piece.lower().isalpha():
-                short.append((piece, piece, ""))
-            elif piece[-1:] in _SIGN and piece[:-1].isalpha() and piece[:-1].lower().isalpha():
-                short.append((piece, piece[:-1], piece[-1]))
+            word, sign = (piece[:-1], piece[-1]) if piece[-1:] in _SIGN else (piece, "")
+            if word.isascii() and word.isalpha():
+                short.append((piece, word if self.blank_leads else word.lower(), sign))
+            elif word.isalpha() and word.lower().isalpha():
+                short.append((piece, word, sign))
             elif _PLAIN.fullmatch(piece):
                 parted.append((piece, _PARTS.findall(piece)))
             else:
@@ -127,11 +128,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         for kept in (self.pieces, self.words, self.others):
             kept.turn()
-        head, *pieces = _CUT.split(text)
+        head, *pieces = _CUT.split(text) if self.blank_leads else ("", *text.split(" "))
         codes = list(map(self.pieces.young.get, pieces))
         if None in codes:
             unseen = self.pieces.missing([p for p, c in zip(pieces, codes) if c is None])
             if unseen:
                 self._learn(unseen)
             codes = map(self.pieces.young.__getitem__, pieces)
-        return self._alone([head])[0] + b"".join(codes)
+        return (self._alone([head])[0] if head else b"") + b"".join(codes)
