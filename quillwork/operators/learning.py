@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression
@@ -94,12 +94,12 @@ def importances(model, features: list[str]) -> DataFrame:
     return session.createDataFrame(rows, "feature string, importance double, position int")
 
 
-def text_classifier(tokens: str, label: str, length: str, vocabulary: int) -> Pipeline:
-    """Label index, term counts, inverse document frequency, text length, naive Bayes, in one object."""
+def text_classifier(tokens: str, label: str, length: str, slots: int = 1 << 18) -> Pipeline:
+    """Label index, counts of all terms by hash, inverse document frequency, text length, naive Bayes, in one object."""
     return Pipeline(
         stages=[
             StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"),
-            CountVectorizer(inputCol=tokens, outputCol="tf", vocabSize=vocabulary),
+            HashingTF(inputCol=tokens, outputCol="tf", numFeatures=slots),
             IDF(inputCol="tf", outputCol="tfidf"),
             VectorAssembler(inputCols=["tfidf", length], outputCol="features"),
             NaiveBayes(),

@@ -12,9 +12,6 @@ from quillwork.sources import writers
 from quillwork.sources.storage import durable
 from quillwork.sources.tables import spread, table
 
-# Names shorter than this are left out of the dictionary of the driver queries.
-MIN_NAME = 4
-
 _ELEMENTS = r"""
 cleaned AS (
   SELECT page_id, url,
@@ -79,7 +76,7 @@ anchor_counts AS (
   SELECT regexp_replace(lower(anchor_text), '^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$', '', 'g') AS surface,
          target_id AS entity_id, page AS entity_name, count(*) AS n FROM links GROUP BY 1, 2, 3),
 names AS (
-  SELECT surface, entity_id, entity_name, n AS links FROM anchor_counts WHERE length(surface) >= 4
+  SELECT surface, entity_id, entity_name, n AS links FROM anchor_counts WHERE surface <> ''
   QUALIFY row_number() OVER (PARTITION BY surface ORDER BY n DESC, entity_id) = 1)"""
 )
 
@@ -135,7 +132,7 @@ def _links(spark, sf):
 
 def _names(spark, sf):
     # used several times by every caller, so it is computed once
-    return durable(mention_ops.entity_dictionary(_links(spark, sf), MIN_NAME))
+    return durable(mention_ops.entity_dictionary(_links(spark, sf)))
 
 
 def _documents(spark, sf):
@@ -282,15 +279,13 @@ def split_at_mentions(spark, sf):
     "link_entities",
     f"""WITH {_TOKENS}
         SELECT doc_id, CAST(end_at - length(word) AS INTEGER) AS "start", CAST(end_at AS INTEGER) AS "end",
-               word AS mention, CASE WHEN links >= 3 THEN entity_id ELSE 'STUB_PAGE_ID' END AS entity_id,
-               CASE WHEN links >= 3 THEN entity_name ELSE 'STUB_PAGE' END AS entity_name
+               word AS mention, entity_id, entity_name
         FROM placed WHERE hit""",
 )
 def link_entities(spark, sf):
     names = _names(spark, sf)
     mentions = mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", names)
-    # only names that several links agree on are linked; the others keep the stub target
-    return mention_ops.link_mentions(mentions, names.where("links >= 3"), "doc_id")
+    return mention_ops.link_mentions(mentions, names, "doc_id")
 
 
 def _synthetic(spark, sf):

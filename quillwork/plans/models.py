@@ -197,7 +197,7 @@ def ml_naive_bayes_text(spark, sf):
     train, test = stable_split(cleaned, "doc_id", 0.7, seed=L.SEED)
     # fitted on the training part only, so the test part tells how well it does on new text
     with L.kept(train) as rows:
-        model = L.text_classifier("kept", "lang", "length", vocabulary=2000).fit(rows)
+        model = L.text_classifier("kept", "lang", "length").fit(rows)
     return model.transform(test).select("doc_id", "lang", "label", "prediction")
 
 

@@ -11,8 +11,9 @@ from quillwork.streaming import counts
 
 
 def _stream(spark, sf, name):
+    """The table as a stream, whether it is one file or a folder of files: a pattern that matches its name only."""
     own = counts.stream_session(spark)
-    return counts.file_stream(own, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    return counts.file_stream(own, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
 
 
 @query(

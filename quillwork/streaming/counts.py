@@ -30,7 +30,7 @@ def stream_session(spark: SparkSession) -> SparkSession:
 def file_stream(
     spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int | None = None
 ) -> DataFrame:
-    """New files of a folder as a stream. For a line socket, swap in ``format("socket")`` here."""
+    """New files of a folder as a stream; the folder may be a pattern. For a line socket, swap in ``format("socket")``."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -58,12 +58,17 @@ def run_to_end(
 def batch_log(spark: SparkSession, stream: DataFrame, mode: str, per_batch=None) -> DataFrame:
     """Run the stream and return all rows of all batches with their ``batch_id``."""
     path = fresh_path(spark, "batches")
+    ran = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        ran.append(batch_id)
         rows = per_batch(batch) if per_batch else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     run_to_end(stream, write, mode)
+    if not ran:  # nothing arrived: the same columns without rows
+        none = spark.createDataFrame([], stream.schema)
+        return (per_batch(none) if per_batch else none).withColumn("batch_id", F.lit(0)).where("false")
     return spark.read.parquet(path)
 
 
@@ -106,7 +111,11 @@ def sliding_count(
 
 
 def hashtag_topk(spark: SparkSession, lines: DataFrame, column: str, k: int, name: str) -> None:
-    """Publish the ``k`` most frequent hashtags as table ``name``, replaced after every batch."""
+    """Publish the ``k`` most frequent hashtags as table ``name``, replaced after every batch.
+
+    A table of that name from an earlier run goes first; without input the table is empty.
+    """
+    spark.createDataFrame([], "tag string, count long").createOrReplaceTempView(name)
     tags = (
         words(lines, column)
         .select(F.lower("word").alias("tag"))

@@ -42,3 +42,14 @@ def test_hashtags_are_published_as_a_table(spark):
     counts.hashtag_topk(spark, _stream(spark, df, 2), "text", 2, "test_tags")
     got = spark.sql("SELECT tag, count FROM test_tags ORDER BY count DESC, tag").collect()
     assert [tuple(r) for r in got] == [("#a", 3), ("#b", 2)]
+
+
+def test_table_as_folder_gives_the_same_rows(spark, sf, tmp_path):
+    """Streams over a folder of part files, over one file, and over no rows at all."""
+    from quillwork.registry import QUERIES
+
+    for name in ("events", "documents"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for key in ("stream_word_count", "stream_sliding_count", "stream_hashtag_topk"):
+        one = sorted(map(tuple, QUERIES[key](spark, sf).collect()))
+        assert one and one == sorted(map(tuple, QUERIES[key](spark, str(tmp_path)).collect()))
