@@ -6,7 +6,7 @@ token among the first few of each in any common order, so only groups that share
 tokens that prove frequent go to the end of the order, by a bitmap of fixed size.
 Of a pair of groups, a set whose overlap with the other group's token union is too small is left out,
 and the group is opened for the others: overlaps with its members are counted token by token, and
-decided exactly.
+decided exactly. Pairs whose sets are in one component already are not opened: no component would change.
 """
 
 from __future__ import annotations
@@ -191,6 +191,40 @@ def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def block_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows for ``open_groups`` from pairs x, y of groups."""
+    cells = ("ids", "sizes", "tokens")
+    own = pairs.where("x = y").join(blocks.withColumnRenamed("g", "x"), "x").select(
+        *cells, *[F.lit(None).cast("binary").alias(f"o_{c}") for c in cells]
+    )
+    two = (
+        pairs.where("x <> y").join(blocks.withColumnRenamed("g", "x"), "x")
+        .join(blocks.toDF("y", *[f"o_{c}" for c in cells]), "y")
+        .select(*cells, *[f"o_{c}" for c in cells])
+    )
+    return own.unionByName(two)
+
+
+def unsettled(pairs: DataFrame, member: DataFrame, matrix: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of groups where two sets of different components share a first token."""
+    placed = member.join(found, "id", "left").select("g", "first", F.coalesce("component", "id").alias("c"))
+    sides = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    apart = (F.col("x_lo") != F.col("x_hi")) | (F.col("y_lo") != F.col("y_hi")) | (F.col("x_lo") != F.col("y_lo"))
+    mixed = stored(
+        pairs.join(sides.toDF("x", "x_lo", "x_hi"), "x").join(sides.toDF("y", "y_lo", "y_hi"), "y").where(apart).select("x", "y"),
+        "pairs",
+    )
+    groups = mixed.select(F.col("x").alias("g")).unionByName(mixed.select(F.col("y").alias("g"))).distinct()
+    cells = stored(
+        placed.join(groups, "g", "left_semi").select(F.explode("first").alias("token"), "g", "c")
+        .groupBy("token", "g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        .join(matrix, ["token", "g"], "left_semi"),
+        "matrix",
+    )
+    meeting = cells.toDF("token", "x", "x_lo", "x_hi").join(cells.toDF("token", "y", "y_lo", "y_hi"), "token")
+    return meeting.where((F.col("x") < F.col("y")) & apart).select("x", "y").distinct().join(mixed, ["x", "y"], "left_semi")
+
+
 def jaccard_components(
     docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -242,8 +276,10 @@ def jaccard_components(
         & (100 * F.col("y_most") >= percent * F.col("x_least"))
         & (100 * (100 + percent) * F.col("c") >= missing)
     )
-    across = shared.where(possible).select("x", "y")
-    inside = member.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("g").alias("x"), F.col("g").alias("y"))
+    across = shared.where(possible).select("x", "y", "c")
+    inside = member.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(
+        F.col("g").alias("x"), F.col("g").alias("y"), F.lit(0).cast("bigint").alias("c")
+    )
     pairs = stored(across.unionByName(inside), "pairs")
     groups = pairs.select(F.col("x").alias("g")).unionByName(pairs.select(F.col("y").alias("g"))).distinct()
     needed = member.join(groups, "g", "left_semi").select("id")
@@ -265,16 +301,14 @@ def jaccard_components(
     sets = hashed.mapInArrow(tokens, "id long, n long, head long, tokens binary").where("n > 0")
     placed = grouped(sets, "id").select("g", "id", "tokens").join(groups, "g", "left_semi")
     blocks = stored(group_blocks(placed), "blocks")
-    cells = ("ids", "sizes", "tokens")
-    other = blocks.toDF("y", *[f"o_{c}" for c in cells])
-    own = pairs.where("x = y").join(blocks.withColumnRenamed("g", "x"), "x").select(
-        *cells, *[F.lit(None).cast("binary").alias(f"o_{c}") for c in cells]
-    )
-    two = pairs.where("x <> y").join(blocks.withColumnRenamed("g", "x"), "x").join(other, "y").select(
-        *cells, *[f"o_{c}" for c in cells]
-    )
-    links = open_groups(own.unionByName(two), percent)
-    found = components(links)
+    # each group meets itself and the one it shares most with; of the other pairs, those are opened that may
+    # still link two components, which for a large group of near-copies are few
+    nearest = pairs.where("x < y").groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x")).select("x", "y")
+    first = stored(pairs.where("x = y").select("x", "y").unionByName(nearest), "pairs")
+    begun = components(open_groups(block_pairs(blocks, first), percent))
+    rest = stored(unsettled(pairs.select("x", "y").join(first, ["x", "y"], "left_anti"), member, matrix, begun), "pairs")
+    begun_links = begun.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = components(begun_links.unionByName(open_groups(block_pairs(blocks, rest), percent)))
     ids = full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "id")
     # a doc_id that several texts share joins their classes
     own = ids.groupBy("doc_id").agg(F.min("id").alias("id"))
