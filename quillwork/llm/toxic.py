@@ -61,6 +61,7 @@ class Automaton:
         self.children: list[dict[str, int]] = [{}]
         self.begin: list[float] = [0.0]
         self.whole: list[float] = [0.0]
+        self.near: list[float] = [0.0]
         self.edits: list[bool] = [False]
         for term, weight in sorted(entries.items()):
             stem, node = term.rstrip("*"), 0
@@ -71,12 +72,14 @@ class Automaton:
                     self.children.append({})
                     self.begin.append(0.0)
                     self.whole.append(0.0)
+                    self.near.append(0.0)
                     self.edits.append(False)
                 node = self.children[node][c]
                 path.append(node)
             side = self.begin if term.endswith("*") else self.whole
             side[node] = max(side[node], weight)
             if side is self.whole and len(stem) >= fuzzy:
+                self.near[node] = side[node]
                 for n in path:
                     self.edits[n] = True
         self.fuzzy = fuzzy
@@ -129,7 +132,7 @@ class Automaton:
         if max(exact, best) > 0:
             return max(exact, best), 0
         if len(word) >= self.fuzzy - 1:
-            near = max((self.whole[n] for n, e in self.members[state] if e == 1), default=0.0)
+            near = max((self.near[n] for n, e in self.members[state] if e == 1), default=0.0)
             return near, int(near > 0)
         return 0.0, 0
 
@@ -141,8 +144,8 @@ def _stems(word: str) -> list[str]:
 class Scorer:
     """Weights and automaton as learned; a copy goes to every task."""
 
-    def __init__(self, entries: dict[str, float], weights: np.ndarray):
-        self.entries, self.weights = entries, weights
+    def __init__(self, entries: dict[str, float], weights: np.ndarray, ordinary: frozenset[str] = frozenset()):
+        self.entries, self.weights, self.ordinary = entries, weights, ordinary
         self.automaton: Automaton | None = None
         self.kept: dict[str, tuple[float, int] | bool] = {}
 
@@ -154,7 +157,7 @@ class Scorer:
                 if form.isalpha() and not weight:
                     weight, edits = self.automaton.match(form)
                     edits = 1
-        hit = (weight, edits, word) if weight > 0 else False
+        hit = (weight, edits, word) if weight > 0 and not (edits and word in self.ordinary) else False
         if len(self.kept) >= KEPT_WORDS:
             self.kept.clear()
         self.kept[token] = hit
@@ -248,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     first = rows.where(~F.col("_second"))
     totals = {r["_y"] == 1: r["n"] for r in first.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_bad, n_good = totals.get(True, 0), totals.get(False, 0)
-    entries = {w: 2.0 for w in INSULTS}
+    entries, ordinary = {w: 2.0 for w in INSULTS}, frozenset()
     if n_bad and n_good:
         share = n_bad / (n_bad + n_good)
         bad, good, both = F.col("bad"), F.col("good"), F.col("bad") + F.col("good")
@@ -256,22 +259,37 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             bad * F.log(bad / (both * share))
             + F.when(good > 0, good * F.log(good / (both * (1 - share)))).otherwise(0.0)
         )
-        learned = (
+        stems = stored(
             first.select("_text", "_y").mapInArrow(count, "stem string, bad long, good long")
-            .groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-            .where((bad >= 3) & (bad / n_bad > 3 * good / n_good) & (ratio >= SIGNIFICANCE))
+            .groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")),
+            "toxic-stems",
+        )
+        learned = (
+            stems.where((bad >= 3) & (bad / n_bad > 3 * good / n_good) & (ratio >= SIGNIFICANCE))
             .orderBy(ratio.desc(), "stem").limit(LEXICON_ENTRIES).collect()
         )
         found = {
             r["stem"]: math.log((r["bad"] + 0.5) / (n_bad + 1)) - math.log((r["good"] + 0.5) / (n_good + 1))
             for r in learned
         }
-        # a longer beginning that weighs no more than a shorter one adds nothing
+        # a longer beginning that weighs no more than a shorter one adds nothing; a whole word adds its misspelled forms
         for term, weight in found.items():
             stem = term.rstrip("*")
-            if not any(found.get(f"{stem[:k]}*", 0) >= weight for k in _STEMS if k < len(stem) or (k == len(stem) and term == stem)):
+            if term == stem or not any(found.get(f"{stem[:k]}*", 0) >= weight for k in _STEMS if k < len(stem)):
                 entries[term] = max(weight, entries.get(term, 0.0))
-    scorer = Scorer(entries, PRIOR)
+        # one edit from a learned word, and no rarer in other documents than in toxic ones: a word of its own
+        taught = {t: w for t, w in entries.items() if t not in INSULTS and not t.endswith("*")}
+
+        def near(batches):
+            new, known = Automaton(taught), Automaton({w: 2.0 for w in INSULTS})
+            for batch in batches:
+                words = batch.column(0).to_pylist()
+                yield batch.filter(pa.array([new.match(w)[1] > 0 and not known.match(w)[0] for w in words], pa.bool_()))
+
+        if taught:
+            usual = stems.where(~F.col("stem").endswith("*") & (good / n_good >= bad / n_bad)).select("stem")
+            ordinary = frozenset(r["stem"] for r in usual.mapInArrow(near, "stem string").collect())
+    scorer = Scorer(entries, PRIOR, ordinary)
 
     def describe(batches):
         schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -279,10 +297,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             x = [scorer.features(t) for t in text_list(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(x, schema.field(1).type)], schema=schema)
 
-    taught = rows.where("_second").select("_text", "_y").mapInArrow(describe, "y int, x array<double>").toPandas()
-    y = (taught["y"].to_numpy() == 1).astype(float)
+    second = rows.where("_second").select("_text", "_y").mapInArrow(describe, "y int, x array<double>").toPandas()
+    y = (second["y"].to_numpy() == 1).astype(float)
     if 0 < y.sum() < len(y):
-        scorer = Scorer(entries, _regression(np.array(taught["x"].tolist()), y))
+        scorer = Scorer(entries, _regression(np.array(second["x"].tolist()), y), ordinary)
     return scorer
 
 

@@ -112,6 +112,23 @@ def test_toxic_words(spark):
     assert toxic.toxicity(docs.limit(0), scorer).count() == 0
 
 
+def test_toxic_learned_words_take_edits(spark):
+    bad = ["blorvak", "quznatter", "vimpledor"]  # their letters occur in no other word
+    rows = [(i, f"you {bad[i % 3]} go away now {bad[(i + 1) % 3]}" if i % 2 else "a calm day by the river bank", i % 2) for i in range(400)]
+    rows = [(i, t if y or i % 20 else f"{t} with brorvak", y) for i, t, y in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scorer = toxic.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert all(w in scorer.entries for w in bad)
+    for typo in ["blrvak", "bxorvak", "qoznatter", "qznatter", "vinpledor", "vmpledor"]:
+        assert scorer.score(f"you {typo} go away") > scorer.score("you simply go away") and scorer._word(typo), typo
+    assert not scorer._word("brorvak")  # a word of its own, seen in calm documents only
+
+
+def test_toxic_short_words_stay_exact():
+    match = toxic.Automaton({"scum": 1.0, "scumbag": 1.0}).match
+    assert match("scam") == (0.0, 0) and match("scum") == (1.0, 0) and match("scumbg") == (1.0, 1)
+
+
 def _library(name, texts):
     from tokenizers import Tokenizer
 
