@@ -6,9 +6,11 @@ describe a span's format and the words around it. Trees boosted on a bounded sam
 its threshold is calibrated on sampled documents kept out of the fit. Spans that match a base format
 are always kept.
 
-Labels of the sample come from the formats: a proposed span is personal when it is a base span, a key
-with a known prefix, or the value of a password, token or secret. The word or sign before a value is
-a feature, its kind is not.
+Spans of base format stay whatever the trees say, so the trees are taught on the rest. Labels of the
+sample come from context and from relaxed formats: a proposal is personal when the words before it name
+its kind, when it is a key with a known prefix or the value of a password, token or secret, and when it
+stands where a base span stood whose plus sign, separators, length or letters were altered. Dates, bare
+numbers and wrong check digits in the same places are taught as not personal.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a run of digits is tried from its first digit only: from a later one the same would follow
+_EDGES = ".,;:!?()[]{}<>\"'"
+_WIDE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|[.-])[0-9]{1,3}){3}(?![0-9])")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -46,7 +50,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[+(]?[0-9](?:[ ().-]{0,3}[0-9]){6,}")
 _TOKEN = re.compile(r"[A-Za-z0-9_/+=-]{16,}+")
 _VALUE = re.compile(r"(?<=[=:])[^\s=:,;\"']{6,}+")
-_AROUND = re.compile(r"\S*@\S*")
+_NUMBER = re.compile(r"[0-9]+")
 _KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[pousr]_|sk-|xox[abp]-)[0-9A-Za-z-]{16,}")
 _NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*[\"']?$")
 
@@ -58,6 +62,17 @@ _HINTS = (
     re.compile(r"(?i)pass|key|secret|token|pwd"),
 )
 
+# the words that name a kind, at most two words before the value
+_CONTEXT = {
+    kind: re.compile(rf"(?i)\b(?:{words})\b\W*(?:\w+\W+){{0,2}}$")
+    for kind, words in (
+        ("email", "e-?mail|mail|contact|write"),
+        ("phone", "phone|telephone|call|tel|mobile|cell|fax"),
+        ("card", "card|visa|mastercard|amex"),
+        ("ip", "ip|host|server"),
+    )
+}
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -105,13 +120,18 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
                 left -= 1
             while right < len(text) and not text[right].isspace():
                 right += 1
-            found.add(("email", left, right))
             end = right
+            while left < at and text[left] in _EDGES:
+                left += 1
+            while right > at + 1 and text[right - 1] in _EDGES:
+                right -= 1
+            if left < at and right > at + 1:
+                found.add(("email", left, right))
     for m in _DIGITS.finditer(text):
         digits = sum(c.isdigit() for c in m[0])
         found.add(("card" if digits > 12 else "phone", m.start(), m.end()))
-    for m in _IP.finditer(text):
-        found.add(("ip", m.start(), m.end()))
+    for pattern in (_IP, _WIDE_IP):
+        found.update(("ip", m.start(), m.end()) for m in pattern.finditer(text))
     place = 0
     for word in text.split():
         if len(word) >= 8 and not word.isalpha():
@@ -138,9 +158,9 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
         float(KINDS.index(kind)), float(len(body)), float(len(digits)), float(letters),
         float(sum(c.isupper() for c in body)), float(len(body) - len(digits) - letters), entropy,
         float(body.count("@")), float(body.count(".")), float(body.count(" ")), float(body.count("-")),
-        float(body[:1] == "+"), float("(" in body),
+        float("(" in body),
         float(luhn("".join(c for c in digits if c in "0123456789"))) if digits else 0.0,
-        float(max((int(p[:4]) for p in parts if p.isascii() and p.isdigit()), default=0)), float(len(parts)),
+        float(max((int(p[:4]) for p in _NUMBER.findall(body)), default=0)), float(len(parts)),
         float(len(parts[-1])), float(before[-1:].isalnum()), float(before.rstrip(" \"'")[-1:] in ("=", ":")),
         float(after.isalnum()), float(after in (".", ",", "")), float(body[:4].isupper() and body[:4].isalpha()),
         float(all(c in "0123456789abcdef" for c in body)),
@@ -148,16 +168,73 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
     ]
 
 
-def weak_label(text: str, span: tuple[str, int, int], base: set[tuple[str, int, int]]) -> int:
+def weak_label(text: str, span: tuple[str, int, int]) -> int:
+    """1 where the words before a proposal, or its own format, say that it is personal."""
     kind, start, end = span
+    body, before = text[start:end], text[max(0, start - 32) : start]
     if kind == "secret":
-        return int(bool(_KEY.fullmatch(text[start:end])) or bool(_NAMED.search(text[max(0, start - 32) : start])))
-    return int(any(s < end and start < e for k, s, e in base if k == kind))
+        return int(bool(_KEY.fullmatch(body)) or bool(_NAMED.search(before)))
+    if kind == "card" and not luhn("".join(c for c in body if c in "0123456789")):
+        return 0
+    if kind == "ip" and any(int(p[:4]) > 255 for p in _NUMBER.findall(body)):
+        return 0
+    return int(bool(_CONTEXT[kind].search(before)))
+
+
+def variants(kind: str, body: str) -> list[tuple[str, str, int]]:
+    """(words before, form, label): a base span's value in forms that the base formats miss, and values that are not personal."""
+    digits = "".join(c for c in body if c in "0123456789")
+    if kind == "phone":
+        n = digits[-10:] if len(digits) > 10 else digits
+        a, b, c = n[:-7] or n[:3], n[-7:-4], n[-4:]
+        plain = [("", f"{c[:2]}{n}"[:k], 0) for k in (7, 8, 10, 12)]
+        dates = [("", f"19{c[:2]} - 20{c[2:]}", 0), ("", f"20{c[:2]}-0{b[0]}-1{b[1]}", 0), ("", f"1{b[1]}.0{b[0]}.20{c[:2]}", 0)]
+        forms = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{a} {b}{c}", f"00{digits}"[:14]]
+        named = [("call ", f) for f in forms] + [("phone: ", f) for f in (*forms, n, f"{b}-{c}")] + [("call us on ", n)]
+        return [*[("", f, 1) for f in forms[:2]], *[(w, f, 1) for w, f in named], *plain, *dates]
+    if kind == "card":
+        n, wrong = sorted((f"{digits[:14]}{d}" for d in range(10)), key=lambda x: not luhn(x))[:2]
+        forms = [lambda n: n, lambda n: f"{n[:4]} {n[4:10]} {n[10:]}", lambda n: f"{n[:4]}-{n[4:10]}-{n[10:]}"]
+        dotted = ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        good = [(w, f(n), 1) for w in ("", "card ") for f in forms] + [("", dotted, 1), ("card ", dotted, 1)]
+        return good + [(w, f(wrong), 0) for w in ("", "card ", "order ") for f in forms]
+    if kind == "ip":
+        forms = [body.replace(".", "[.]"), body.replace(".", "(.)")]
+        dashed, high = body.replace(".", "-"), ".".join(str(int(p[-3:]) + 256) for p in body.split("."))
+        good = [(w, f, 1) for w in ("", "host ") for f in forms] + [("host ", dashed, 1), ("ip ", dashed, 1)]
+        return good + [("", dashed, 0), ("", high, 0), ("host ", high, 0), ("ip ", high.replace(".", "[.]"), 0)]
+    name, host = body.split("@", 1)
+    short = f"{name}@{host.split('.')[0]}"
+    good = [(w, f, 1) for w in ("", "mail ") for f in (f"{name}\u00e9@{host}", f"{name}@\u00fc{host}")]
+    return [*good, ("mail ", short, 1), ("contact: ", short, 1), ("", short, 0), ("", f"{len(name)}@{len(host)}.50", 0), ("", f"@{host}@", 0)]
+
+
+def taught(text: str) -> list[tuple[int, list[float]]]:
+    """(label, features) of a text's proposals apart from base spans, and of the altered forms of each base span."""
+    base, out = base_spans(text), []
+    covered = sorted((s, e) for _, s, e in base)
+    at, reach = 0, 0  # proposals come by start; reach is the furthest end of the base spans that begin before one's end
+    for span in proposals(text):
+        while at < len(covered) and covered[at][0] < span[1]:
+            reach, at = max(reach, covered[at][1]), at + 1
+        if reach <= span[1] and not (at < len(covered) and covered[at][0] < span[2]):
+            out.append((weak_label(text, span), features(text, span)))
+    for kind, start, end in base:
+        after = text[end : end + 64]
+        for words, form, label in variants(kind, text[start:end]):
+            before = text[max(0, start - 64) : start] + words
+            near, stop = before + form + after, len(before) + len(form)
+            kept = base_spans(near)
+            for k, s, e in proposals(near):
+                if s < stop and len(before) < e and not any(s < y and x < e for _, x, y in kept):
+                    whole = k == kind and s >= len(before) and e <= stop
+                    out.append((label if whole else 0, features(near, (k, s, e))))
+    return out
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents: int = SAMPLE_DOCUMENTS,
         precision: float = PRECISION) -> Boosted | None:
-    """Trees fitted on proposals from at most ``documents`` documents; None where there is one class only.
+    """Trees fitted on proposals and altered base spans from at most ``documents`` documents; None where there is one class only.
 
     A quarter of the sampled documents, by hash, calibrates the threshold.
     """
@@ -169,11 +246,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents:
         for batch in slices(batches):
             held, y, x = [], [], []
             for body, out in zip(text_list(batch.column(0)), batch.column(1).to_pylist()):
-                base = set(base_spans(body))
-                for span in proposals(body):
+                for label, row in taught(body):
                     held.append(out)
-                    y.append(weak_label(body, span, base))
-                    x.append(features(body, span))
+                    y.append(label)
+                    x.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((held, y, x), schema)], schema=schema)
 
     rows = (

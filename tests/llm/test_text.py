@@ -87,6 +87,29 @@ def test_private_odd_rows(spark):
     assert private.private_spans(docs.limit(0), private.fit(docs.limit(0))).count() == 0
 
 
+def test_private_beyond_base_formats(spark):
+    r = random.Random(9)
+    starts = [f"4{r.randrange(10**14):014}" for _ in range(100)]
+    cards = [next(f"{s}{d}" for d in range(10) if private.luhn(f"{s}{d}")) for s in starts]
+    values = [v for i in range(100) for v in (
+        f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}", cards[i], f"ann.{i}@mail{i % 7}.example.com",
+        ".".join(str(r.randrange(256)) for _ in range(4)))]
+    words = ["river", "stone", "of", "the", "quiet", "evening,", "lamps", "and"]
+    docs = _docs(spark, [" ".join([*r.choices(words, k=6), v, *r.choices(words, k=6)]) for v in values])
+    model = private.fit(docs)
+    for kind, text, value in [
+        ("phone", "please call {} before noon", "(743) 555-3824"), ("phone", "the phone: {} is new", "743-555-3824"),
+        ("card", "paid by card {} today", "3782 822463 10005"), ("email", "please mail {}, thanks", "jos\u00e9@mail.example"),
+        ("ip", "the host {} is down", "10[.]20[.]30[.]41"),
+    ]:
+        start = text.index("{")
+        base, spans = private.find_spans(text.format(value), model)
+        assert not base and (kind, start, start + len(value)) in spans, (value, spans)
+    assert not private.find_spans("it sold 1234567 of 20240131 items in 2019 - 2021, order 3782 822463 10006", model)[1]
+    masked = private.redact(_docs(spark, ["please call (743) 555-3824 before noon"]), model).first()["text"]
+    assert masked == "please call <PHONE> before noon"
+
+
 def test_toxicity(spark, sf):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = LLM_QUERIES["op3_toxicity"](spark, sf).collect()
