@@ -24,6 +24,11 @@ def surface(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), _EDGE, "")
 
 
+def words_in(text: Column) -> Column:
+    """The number of words, counted as texts are cut into words."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}]+"))
+
+
 def _tokens(text: Column) -> Column:
     """Gaps and words, which put together in turn are the text, and the words in lower case."""
     return F.struct(

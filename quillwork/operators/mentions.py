@@ -41,6 +41,11 @@ def entity_dictionary(links: DataFrame, min_length: int = 1) -> DataFrame:
     )
 
 
+def longest_name(dictionary: DataFrame) -> int:
+    """Words of the longest name in the dictionary; 1 for an empty one."""
+    return dictionary.agg(F.max(M.words_in(F.col("surface")))).first()[0] or 1
+
+
 @dataclass
 class NamedRows:
     """Rows together with how to tell, inside each row, whether a phrase is a name and whose."""

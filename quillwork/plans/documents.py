@@ -252,7 +252,8 @@ def child_at(spark, sf):
         FROM placed WHERE hit""",
 )
 def mention_spans(spark, sf):
-    return mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", _names(spark, sf))
+    names = _names(spark, sf)
+    return mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", names, mention_ops.longest_name(names))
 
 
 @query(
@@ -272,7 +273,8 @@ def mention_spans(spark, sf):
         FROM both_kinds WHERE text <> ''""",
 )
 def split_at_mentions(spark, sf):
-    return mention_ops.piece_rows(_documents(spark, sf), "doc_id", "text", _names(spark, sf))
+    names = _names(spark, sf)
+    return mention_ops.piece_rows(_documents(spark, sf), "doc_id", "text", names, mention_ops.longest_name(names))
 
 
 @query(
@@ -284,12 +286,13 @@ def split_at_mentions(spark, sf):
 )
 def link_entities(spark, sf):
     names = _names(spark, sf)
-    mentions = mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", names)
+    mentions = mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", names, mention_ops.longest_name(names))
     return mention_ops.link_mentions(mentions, names, "doc_id")
 
 
 def _synthetic(spark, sf):
-    return page_ops.synthetic_pages(_pages(spark, sf), _names(spark, sf))
+    names = _names(spark, sf)
+    return page_ops.synthetic_pages(_pages(spark, sf), names, mention_ops.longest_name(names))
 
 
 @query("synthetic_page")

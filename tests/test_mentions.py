@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import mentions as M
 from quillwork.functions.arrays import prefix_sums, scan
 from quillwork.operators import mentions as ops
+from quillwork.registry import QUERIES
 
 NAMES = ["new york", "york", "new york city", "é", "straße", "a b c", "b c d e"]
 TEXTS = [
@@ -126,3 +127,25 @@ def test_scan_and_prefix_sums_over_long_arrays(spark):
     empty = df.select(F.filter("a", lambda x: x < 0).alias("a"))
     assert empty.select(prefix_sums(F.col("a"))).first()[0] == []
     assert empty.select(scan(F.col("a"), F.lit(0), "int", lambda c, x: (c, x, F.lit(True)))).first()[0] == []
+
+
+def test_registered_queries_find_names_of_several_words(spark, tmp_path):
+    names = ["York", "New York", "New York City", "O'Neil", "a b c"]
+    links = "".join(f'<a href="/{n.replace(" ", "_")}">{n}</a> and ' for n in names)
+    html = f"<html><body><article><h1>Cities</h1><p>{links}more</p><p>From new york city to York.</p></article></body></html>"
+    spark.createDataFrame([(1, "http://x.example/1", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    bodies = list(enumerate(t for t in TEXTS + ["So O'Neil left New York."] + random_texts(5, 6)))
+    spark.createDataFrame(bodies, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known = {n.lower() for n in names}
+    want = {(i, *span) for i, t in bodies for span in reference_spans(t, known, 3)}
+    assert any(" " in m for *_, m in want)
+    for key in ("mention_spans", "link_entities"):
+        assert {tuple(r)[:4] for r in QUERIES[key](spark, str(tmp_path)).collect()} == want, key
+    pieces = QUERIES["split_at_mentions"](spark, str(tmp_path)).where("kind = 'link'")
+    assert {(r.doc_id, r.start, r.end, r.text) for r in pieces.collect()} == want
+    paragraphs = [r.linked for r in QUERIES["synthetic_paragraphs"](spark, str(tmp_path)).collect()]
+    assert any("[new york city](" in p for p in paragraphs), paragraphs
+    message = QUERIES["doc_message"](spark, str(tmp_path)).first()
+    assert "new york city@5-18" in message.contents
+    page = QUERIES["synthetic_page"](spark, str(tmp_path)).first()
+    assert any(b["text"] == "new york city" and b["kind"] == "link" for e in page.elements for b in e["bodies"])
