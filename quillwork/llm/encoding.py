@@ -23,7 +23,7 @@ _PLAIN = re.compile(rf"{_LETTERS}(?:{_SIGNS})?(?:\n{_LETTERS}(?:{_SIGNS})?)*")
 _PARTS = re.compile(rf"{_LETTERS}|{_SIGNS}|\n")
 
 
-class _Kept:
+class Kept:
     """A dictionary of bounded size in two generations: what is used in the younger one stays."""
 
     def __init__(self, limit: int):
@@ -66,7 +66,7 @@ class Encoder:
         edge = [i for w, i in names.items() if (w.startswith("Ġ") if blank_leads else w.endswith("</w>"))]
         self.edge = np.zeros(max(names.values()) + 1, dtype=bool)
         self.edge[edge] = True
-        self.pieces, self.words, self.others = _Kept(kept), _Kept(kept), _Kept(kept)
+        self.pieces, self.words, self.others = Kept(kept), Kept(kept), Kept(kept)
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         out = []
