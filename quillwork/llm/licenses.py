@@ -67,20 +67,22 @@ def blanks(text: Column) -> Column:
 
 
 def places(text: Column, pattern: Column) -> Column:
-    """``start, end`` in words, end exclusive, of a pattern's matches in a spaced text, from left to right."""
+    """``start, end`` in words, end exclusive, of a pattern's matches in a spaced text, from left to right.
 
-    def measured(found: Column) -> Column:
-        def with_gaps(gaps: Column) -> Column:
-            before = prefix_sums(F.transform(found, lambda m, i: blanks(F.get(gaps, i)) + F.when(i > 0, blanks(F.get(found, i - 1))).otherwise(0)))
-            return let(before, lambda b: F.transform(found, lambda m, i: F.struct(
-                (F.get(b, i) / 2).cast("int").alias("start"), ((F.get(b, i) + blanks(m)) / 2).cast("int").alias("end"),
-            )))
+    Matches are marked and the text is split at the marks, in one pass: what is found and what stands
+    between alternate.
+    """
 
-        return let(F.split(text, pattern), with_gaps)
+    def measured(pieces: Column) -> Column:
+        ends = prefix_sums(F.transform(pieces, blanks))
+        return let(ends, lambda b: F.transform(
+            F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)),
+            lambda i: F.struct((F.get(b, i - 1) / 2).cast("int").alias("start"), (F.get(b, i) / 2).cast("int").alias("end")),
+        ))
 
     none = F.array().cast("array<struct<start:int,end:int>>")
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) > 0, measured(m)).otherwise(none))
+    marked = F.regexp_replace(text, pattern, F.lit("\x01$0\x01"))
+    return let(F.split(marked, F.lit("\x01")), lambda m: F.when(F.size(m) > 1, measured(m)).otherwise(none))
 
 
 _RULE = "array<struct<rule:int,label:string,priority:int,anchors:array<string>,keywords:array<string>,pattern:string>>"

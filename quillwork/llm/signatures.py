@@ -63,8 +63,8 @@ artistic-2 | 1 | standard version | you may charge a distributor fee for any dis
 cc0-1 | 1 | to the extent possible under law | to the extent possible under law (?:\S+ ){1,12}has waived all copyright and related or neighboring rights
 odbl-1 | 1 | open database license | this (?:\S+ ){1,6}is made available under the open database license
 pddl-1 | 1 | public domain dedication and license | made available under the public domain dedication and license
-ms-pl | 1 | accept the license | this license governs use of the accompanying software if you use the software you accept this license
-sspl-1 | 1 | making the functionality | if you make the functionality of the program or a modified version available to third parties as a service
+ms-pl | 1 | accept this license | this license governs use of the accompanying software if you use the software you accept this license
+sspl-1 | 1 | make the functionality | if you make the functionality of the program or a modified version available to third parties as a service
 busl-1.1 | 1 | additional use grant | additional use grant
 commons-clause | 1 | right to sell | the license does not grant to you the right to sell the software
 proprietary | 1 | express written permission | may (?:not )?be (?:reproduced|copied|distributed|used) (?:\S+ ){0,10}without (?:the )?(?:prior )?express written permission
@@ -104,7 +104,7 @@ mit-x11 | 2 | x11 | (?:licensed|released|distributed|available) under (?:the )?(
 isc | 2 | isc licen[cs]e | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?isc licen[cs]e
 apache-2 | 2 | apache | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?apache (?:software )?licen[cs]e (?:version )?(?:v )?2(?: 0)?
 apache-1.1 | 2 | apache | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?apache (?:software )?licen[cs]e (?:version )?1 1
-bsd-2-clause | 2 | bsd | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[cs]e
+bsd-2-clause | 2 | bsd | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[cs]e
 bsd-3-clause | 2 | bsd | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd) licen[cs]e
 bsd | 2 | bsd | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?bsd(?: style)? licen[cs]e
 gpl-2 | 2 | gnu general public licen[cs]e | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?gnu general public licen[cs]e (?:version )?(?:v )?2(?: 0)?
@@ -250,7 +250,8 @@ cpl | 4 | common public licen[cs]e | common public licen[cs]e
 eupl | 4 | eupl | eupl
 eupl | 4 | european union public licen[cs]e | european union public licen[cs]e
 artistic | 4 | artistic licen[cs]e | artistic licen[cs]e
-zlib | 4 | zlib licen[cs]e | zlib(?: libpng)? licen[cs]e
+zlib | 4 | zlib licen[cs]e | zlib licen[cs]e
+bsd-2-clause | 3 | freebsd licen[cs]e | freebsd licen[cs]e
 zlib | 4 | zlib libpng licen[cs]e | zlib libpng licen[cs]e
 bsl-1.0 | 4 | boost software licen[cs]e | boost software licen[cs]e
 ofl | 4 | open font licen[cs]e | (?:sil )?open font licen[cs]e
@@ -289,7 +290,7 @@ unknown-licence | 5 | open source licen[cs]e | open source licen[cs]e
 unknown-licence | 5 | free software licen[cs]e | free software licen[cs]e
 unknown-licence | 5 | end user licen[cs]e agreement | end user licen[cs]e agreement
 unknown-licence | 5 | permission is granted | permission is granted to
-unknown-licence | 5 | used with permission | (?:reproduced|reprinted|used) with permission
+unknown-licence | 5 | with permission | (?:reproduced|reprinted|used) with permission
 """
 
 RULES = [Rule(a, int(b), c, d) for a, b, c, d in (line.split(" | ") for line in _LINES.strip().splitlines())]
