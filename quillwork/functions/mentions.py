@@ -1,21 +1,16 @@
-"""Finding known names in a text and cutting the text at them, inside one row.
+"""The form of a name, and cutting a text at the names found in it, inside one row.
 
 Offsets count characters from 0 and the end is exclusive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillwork.functions.arrays import let, prefix_sums, scan
+from quillwork.functions.arrays import let
 
 SPAN = "struct<start:int,end:int,text:string>"
-PIECE = "struct<kind:string,text:string,start:int,end:int>"
-# what stands before a word, and the word: letters, marks and digits of any script
-_TOKEN = r"([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)"
 _EDGE = r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$"
 
 
@@ -29,119 +24,22 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}]+"))
 
 
-def _tokens(text: Column) -> Column:
-    """Gaps and words, which put together in turn are the text, and the words in lower case."""
-    return F.struct(
-        F.regexp_extract_all(text, F.lit(_TOKEN), 1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(_TOKEN), 2).alias("words"),
-        F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), 2).alias("lower"),
-    )
-
-
-def _phrase(gaps: Column, words: Column, i: Column, length: int) -> Column:
-    """The text from word ``i`` over ``length`` words; null past the end."""
-    parts = [F.get(words, i)]
-    for k in range(1, length):
-        parts += [F.get(gaps, i + k), F.get(words, i + k)]
-    return F.concat(*parts) if length > 1 else parts[0]
-
-
-def candidates_of(text: Column, max_words: int) -> Column:
-    """Distinct lower-case phrases of up to ``max_words`` words that could be names."""
-
-    def of_length(t: Column, n: int) -> Column:
-        return F.transform(t["lower"], lambda w, i: F.when(w != "", _phrase(t["gaps"], t["lower"], i, n)))
-
-    def phrases(t: Column) -> Column:
-        every = F.concat(*[of_length(t, n) for n in range(1, max_words + 1)])
-        return F.array_compact(F.array_distinct(every))
-
-    return let(_tokens(text), phrases)
-
-
-def spans_of(text: Column, known: Callable[[Column], Column], max_words: int = 1) -> Column:
-    """Spans of known names: the longest at each word, from left to right, without overlap.
-
-    Only the words at which a name begins are walked; the length of what lies between two of them
-    is taken from whole slices of the word array.
-    """
-
-    def hits(t: Column) -> Column:
-        def words_known(w: Column, i: Column) -> Column:
-            longest = None
-            for n in range(max_words, 0, -1):
-                hit = known(_phrase(t["gaps"], t["lower"], i, n) if n > 1 else w)
-                longest = F.when(hit, n) if longest is None else longest.when(hit, n)
-            return F.when((w != "") & longest.isNotNull(), F.struct(i.alias("at"), longest.alias("words")))
-
-        found = F.array_compact(F.transform(t["lower"], words_known))
-        if max_words == 1:
-            return found
-        # a name that begins inside the one taken before it is passed over
-        return scan(
-            found,
-            F.lit(0),
-            "struct<at:int,words:int>",
-            lambda free, h: (
-                F.when(h["at"] >= free, h["at"] + h["words"]).otherwise(free),
-                h,
-                h["at"] >= free,
-            ),
-        )
-
-    def length_of(parts: Column, first: Column, last: Column) -> Column:
-        return F.length(F.array_join(F.slice(parts, first + 1, last - first), ""))
-
-    def measured(t: Column) -> Column:
-        def one(found: Column, h: Column, k: Column) -> Column:
-            before = F.get(found, k - 1)
-            first = F.coalesce(before["at"] + before["words"], F.lit(0))
-            skipped = length_of(t["words"], first, h["at"]) + length_of(t["gaps"], first, h["at"] + 1)
-            inner = F.slice(t["gaps"], h["at"] + 2, h["words"] - 1)
-            words = F.slice(t["words"], h["at"] + 1, h["words"])
-            name = F.array_join(
-                F.flatten(
-                    F.transform(words, lambda w, j: F.array(F.when(j > 0, F.get(inner, j - 1)).otherwise(""), w))
-                ),
-                "",
-            )
-            if max_words == 1:
-                name = F.get(t["words"], h["at"])
-            return F.struct(skipped.alias("skipped"), name.alias("text"))
-
-        return let(hits(t), lambda found: F.transform(found, lambda h, k: one(found, h, k)))
-
-    def placed(names: Column) -> Column:
-        ends = prefix_sums(F.transform(names, lambda m: m["skipped"] + F.length(m["text"])))
-        return let(
-            ends,
-            lambda e: F.transform(
-                names,
-                lambda m, k: F.struct(
-                    (F.get(e, k) - F.length(m["text"])).alias("start"),
-                    F.get(e, k).alias("end"),
-                    m["text"].alias("text"),
-                ),
-            ),
-        )
-
-    return let(let(_tokens(text), measured), placed)
-
-
-def pieces_of(text: Column, spans: Column) -> Column:
+def pieces_of(text: Column, spans: Column, carried: tuple[str, ...] = ()) -> Column:
     """Alternating text and link pieces; put together they are the text again.
 
-    ``spans`` are sorted and disjoint. Empty text between links gives no piece, so an empty text
+    ``spans`` are sorted and disjoint; a link piece takes over the ``carried`` text fields of its span. Empty text between links gives no piece, so an empty text
     has no pieces at all. The text is taken apart into characters once: ``substring`` would walk it
     from the start for every piece.
     """
 
-    def piece(kind: str, chars: Column, start: Column, end: Column) -> Column:
+    def piece(kind: str, chars: Column, start: Column, end: Column, span: Column | None = None) -> Column:
+        taken = [(F.lit(None).cast("string") if span is None else span[f]).alias(f) for f in carried]
         return F.struct(
             F.lit(kind).alias("kind"),
             F.array_join(F.slice(chars, start + 1, end - start), "").alias("text"),
             start.alias("start"),
             end.alias("end"),
+            *taken,
         )
 
     def cut(bound: Column) -> Column:
@@ -152,7 +50,7 @@ def pieces_of(text: Column, spans: Column) -> Column:
                 spans_,
                 lambda s, i: F.array(
                     piece("text", chars, F.coalesce(F.get(spans_, i - 1)["end"], F.lit(0)), s["start"]),
-                    piece("link", chars, s["start"], s["end"]),
+                    piece("link", chars, s["start"], s["end"], s),
                 ),
             )
         )

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from itertools import repeat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions import mentions as M
-from quillwork.operators.lookups import lookup_join
+from quillwork.functions.names import NameTrie, spans_in_lists
+from quillwork.operators.lookups import BROADCAST_BYTES, estimated_bytes, lookup_join
 
-# Up to this many names are written into the plan; more are joined.
-PLAN_NAMES = 1000
-ENTITY = "struct<entity_id:string,entity_name:string>"
+SPANS = "array<array<struct<start:int,end:int,text:string,entity_id:string,entity_name:string>>>"
 # The target of a name that no entity is known for.
 STUB_NAME, STUB_ID = "STUB_PAGE", "STUB_PAGE_ID"
 
@@ -41,79 +41,70 @@ def entity_dictionary(links: DataFrame, min_length: int = 1) -> DataFrame:
     )
 
 
-def longest_name(dictionary: DataFrame) -> int:
-    """Words of the longest name in the dictionary; 1 for an empty one."""
-    return dictionary.agg(F.max(M.words_in(F.col("surface")))).first()[0] or 1
-
-
-@dataclass
-class NamedRows:
-    """Rows together with how to tell, inside each row, whether a phrase is a name and whose."""
-
-    rows: DataFrame
-    known: Callable[[Column], Column]
-    entity: Callable[[Column], Column]
-
-
-def with_names(
+def with_spans(
     rows: DataFrame,
     key: str,
-    text: Column,
+    texts: Column,
     dictionary: DataFrame,
-    max_words: int = 1,
-    plan_names: int = PLAN_NAMES,
-) -> NamedRows:
-    """Bring the dictionary to the rows.
-
-    A short dictionary becomes constants of the plan: no join, no shuffle. A longer one is joined
-    to the distinct phrases of the texts, and every row gets the map of the names it holds, which
-    is bounded by its own text.
+    max_words: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``rows`` with ``_spans``: for each of the row's ``texts`` (an array) the names found in it, with their entity.
+
+    ``max_words`` leaves out longer names. Neither way puts a name into the plan. A dictionary whose measured size fits is sent
+    to the workers, which walk each text once along a trie of it. A larger one is joined to the
+    distinct phrases of the texts, cut for the numbers of words that names have, and each row walks
+    along the trie of the names it holds, which is bounded by its own text.
     """
-    wanted = dictionary.select("surface", F.struct("entity_id", "entity_name").alias("entity"))
-    short = wanted.limit(plan_names + 1).collect()
-    if len(short) <= plan_names:
-        forms = [r["surface"] for r in short]
-        targets = F.map_from_arrays(
-            F.array(*[F.lit(f) for f in forms]).cast("array<string>"),
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(r["entity"]["entity_id"]).alias("entity_id"),
-                        F.lit(r["entity"]["entity_name"]).alias("entity_name"),
-                    )
-                    for r in short
-                ]
-            ).cast(f"array<{ENTITY}>"),
+    wanted = dictionary.select("surface", "entity_id", "entity_name").where("surface <> ''")
+    if max_words is not None:
+        wanted = wanted.where(M.words_in(F.col("surface")) <= max_words)
+    lowers = F.transform(texts, lambda t: F.lower(t))
+    if estimated_bytes(wanted) <= broadcast_bytes:
+        names = wanted.toArrow()
+        columns = (names.column(c).to_pylist() for c in ("surface", "entity_id", "entity_name"))
+        sent = rows.sparkSession.sparkContext.broadcast(NameTrie(zip(*columns)))
+
+        def find(texts: pa.Array, lowers: pa.Array) -> pa.Array:
+            return spans_in_lists(texts, lowers, repeat(sent.value))
+
+        return rows.withColumn("_spans", F.arrow_udf(find, SPANS)(texts, lowers))
+
+    lengths = [r[0] for r in wanted.select(M.words_in(F.col("surface"))).distinct().collect()]
+
+    def cut(lowers: pa.Array) -> pa.Array:
+        cutter = NameTrie(())
+        return pa.array(
+            [sorted(set().union(*(cutter.phrases(t, lengths) for t in row if t))) for row in lowers.to_pylist()], pa.list_(pa.string())
         )
-        return NamedRows(rows, lambda c: c.isin(forms), lambda c: F.try_element_at(targets, c))
-    phrases = rows.select(key, F.explode(M.candidates_of(text, max_words)).alias("surface"))
-    met = lookup_join(phrases, wanted, ["surface"], spread=[key], how="inner")
-    per_row = met.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("surface", "entity"))).alias("_names"))
-    none = F.create_map().cast(f"map<string,{ENTITY}>")
-    named = rows.join(per_row, key, "left").withColumn("_names", F.coalesce("_names", none))
-    return NamedRows(
-        named,
-        lambda c: F.map_contains_key("_names", c),
-        lambda c: F.try_element_at("_names", c),
-    )
+
+    def find_own(texts: pa.Array, lowers: pa.Array, own: pa.Array) -> pa.Array:
+        tries = (NameTrie((n["surface"], n["entity_id"], n["entity_name"]) for n in names or ()) for names in own.to_pylist())
+        return spans_in_lists(texts, lowers, tries)
+
+    phrases = rows.select(key, F.explode(F.arrow_udf(cut, "array<string>")(lowers)).alias("surface"))
+    met = lookup_join(phrases, wanted, ["surface"], spread=[key], how="inner", broadcast_bytes=broadcast_bytes)
+    own = met.groupBy(key).agg(F.collect_list(F.struct("surface", "entity_id", "entity_name")).alias("_own"))
+    named = rows.join(own, key, "left")
+    return named.withColumn("_spans", F.arrow_udf(find_own, SPANS)(texts, lowers, F.col("_own"))).drop("_own")
 
 
 def mention_rows(
-    texts: DataFrame, key: str, text: str, dictionary: DataFrame, max_words: int = 1, **options
+    texts: DataFrame, key: str, text: str, dictionary: DataFrame, max_words: int | None = None, entities: bool = False, **options
 ) -> DataFrame:
-    """``key, start, end, mention``: one row per name found."""
-    named = with_names(texts, key, F.col(text), dictionary, max_words, **options)
-    spans = M.spans_of(F.col(text), named.known, max_words)
-    return named.rows.select(key, F.inline(spans).alias("start", "end", "mention"))
+    """``key, start, end, mention``: one row per name found; with ``entities`` also ``entity_id, entity_name``."""
+    found = with_spans(texts.select(key, text), key, F.array(text), dictionary, max_words, **options)
+    names = ("start", "end", "mention", "entity_id", "entity_name")
+    rows = found.select(key, F.inline(F.get("_spans", F.lit(0))).alias(*names))
+    return rows if entities else rows.drop("entity_id", "entity_name")
 
 
 def piece_rows(
-    texts: DataFrame, key: str, text: str, dictionary: DataFrame, max_words: int = 1, **options
+    texts: DataFrame, key: str, text: str, dictionary: DataFrame, max_words: int | None = None, **options
 ) -> DataFrame:
     """``key, position, kind, text, start, end``: the texts cut at the names found in them."""
-    named = with_names(texts, key, F.col(text), dictionary, max_words, **options)
-    pieces = M.pieces_of(F.col(text), M.spans_of(F.col(text), named.known, max_words))
-    cut = named.rows.select(key, F.posexplode(pieces).alias("position", "piece"))
+    found = with_spans(texts.select(key, text), key, F.array(text), dictionary, max_words, **options)
+    cut = found.select(key, F.posexplode(M.pieces_of(F.col(text), F.get("_spans", F.lit(0)))).alias("position", "piece"))
     return cut.select(key, "position", "piece.*")
 
 

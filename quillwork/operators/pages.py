@@ -9,7 +9,7 @@ from quillwork.functions import mentions as M
 from quillwork.functions import pages as P
 from quillwork.functions.arrays import let, prefix_sums, runs
 from quillwork.operators.lookups import lookup_join
-from quillwork.operators.mentions import STUB_ID, STUB_NAME, NamedRows, with_names
+from quillwork.operators.mentions import STUB_ID, STUB_NAME, with_spans
 
 # Page type tags.
 PAGE_TYPES = {0: "Article", 1: "Category", 2: "Disambiguation", 3: "Redirect"}
@@ -190,44 +190,43 @@ def inlink_pages(links: DataFrame) -> DataFrame:
     return links.select(F.col("page_id").alias("entity_id"), F.col("from_page").alias("page_id")).distinct()
 
 
-def _linked_bodies(text: Column, named: NamedRows, max_words: int) -> Column:
+def _linked_bodies(text: Column, spans: Column) -> Column:
     """The text as text and link bodies, cut at the names found in it."""
-    pieces = M.pieces_of(text, M.spans_of(text, named.known, max_words))
+    pieces = M.pieces_of(text, spans, ("entity_id", "entity_name"))
 
     def body(p: Column) -> Column:
         is_link = p["kind"] == "link"
-        entity = named.entity(F.lower(p["text"]))
         return F.struct(
             p["kind"].alias("kind"),
             p["text"].alias("text"),
-            F.when(is_link, F.coalesce(entity["entity_name"], F.lit(STUB_NAME))).alias("page"),
-            F.when(is_link, F.coalesce(entity["entity_id"], F.lit(STUB_ID))).alias("page_id"),
+            F.when(is_link, F.coalesce(p["entity_name"], F.lit(STUB_NAME))).alias("page"),
+            F.when(is_link, F.coalesce(p["entity_id"], F.lit(STUB_ID))).alias("page_id"),
             F.lit(None).cast("string").alias("link_section"),
         )
 
     return F.transform(pieces, body)
 
 
-def _page_text(elements: Column) -> Column:
-    return F.array_join(F.transform(elements, lambda e: P.body_text(e["bodies"])), "\n")
-
-
 def synthetic_pages(
-    pages: DataFrame, dictionary: DataFrame, max_words: int = 1, key: str = "page_id", **options
+    pages: DataFrame, dictionary: DataFrame, max_words: int | None = None, key: str = "page_id", **options
 ) -> DataFrame:
     """Every page with the bodies of its paragraphs and list items cut anew at the names found.
 
     ``elements`` is the new tree; ``paragraphs`` lists the rewritten paragraphs (from paragraphs,
     list items and captions) in document order. A section without children gives no paragraph.
     """
-    named = with_names(pages, key, _page_text(F.col("elements")), dictionary, max_words, **options)
+    def holds_text(e: Column) -> Column:
+        return P.checked_kind(e["kind"]).isin("para", "list")
+
+    # elements without text keep their place, so spans go by the place of the element
+    texts = F.transform("elements", lambda e: F.when(holds_text(e), P.body_text(e["bodies"])))
+    found = with_spans(pages, key, texts, dictionary, max_words, **options)
 
-    def rewritten(e: Column) -> Column:
-        holds_text = P.checked_kind(e["kind"]).isin("para", "list")
-        fresh = _linked_bodies(P.body_text(e["bodies"]), named, max_words)
-        return e.withField("bodies", F.when(holds_text, fresh).otherwise(e["bodies"]))
+    def rewritten(e: Column, i: Column) -> Column:
+        fresh = _linked_bodies(P.body_text(e["bodies"]), F.get("_spans", i))
+        return e.withField("bodies", F.when(holds_text(e), fresh).otherwise(e["bodies"]))
 
-    new = named.rows.withColumn("elements", F.transform("elements", rewritten)).drop("_names")
+    new = found.withColumn("elements", F.transform("elements", rewritten)).drop("_spans")
     paragraphs = F.transform(
         F.filter("elements", lambda e: e["kind"].isin("para", "list")),
         lambda e: F.struct(e["path"].alias("path"), e["para_id"].alias("para_id"), e["bodies"].alias("bodies")),

@@ -80,15 +80,54 @@ names AS (
   QUALIFY row_number() OVER (PARTITION BY surface ORDER BY n DESC, entity_id) = 1)"""
 )
 
+
+
+def _with_names_merged(source: str, target: str, keys: str) -> str:
+    """CTEs that put the words of each name of up to three words together: longest first, left to right.
+
+    Names that overlap others form islands, and only these are walked one after the other.
+    """
+    p = target
+    same = " AND ".join(f"t.{k.strip()} = v.{k.strip()}" for k in keys.split(","))
+    return f""",
+{p}_runs AS (
+  SELECT *, lead(word, 1) OVER w AS second, lead(word, 2) OVER w AS third,
+         word || lead(gap, 1) OVER w || lead(word, 1) OVER w AS two,
+         word || lead(gap, 1) OVER w || lead(word, 1) OVER w || lead(gap, 2) OVER w || lead(word, 2) OVER w AS three
+  FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY i)),
+{p}_names AS (
+  SELECT {keys}, i, CASE WHEN c.surface IS NOT NULL THEN 3 WHEN b.surface IS NOT NULL THEN 2 ELSE 1 END AS n
+  FROM {p}_runs r LEFT JOIN names a ON a.surface = lower(word)
+       LEFT JOIN names b ON b.surface = lower(two) AND second <> '' LEFT JOIN names c ON c.surface = lower(three) AND third <> ''
+  WHERE word <> '' AND coalesce(a.surface, b.surface, c.surface) IS NOT NULL),
+{p}_islands AS (
+  SELECT *, sum(CASE WHEN i >= coalesce(reach, 0) THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY i) AS island
+  FROM (SELECT *, max(i + n) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+        FROM {p}_names)),
+{p}_ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys}, island ORDER BY i) AS k FROM {p}_islands),
+{p}_walk AS (
+  SELECT {keys}, island, k, i, n, true AS taken, i + n AS free FROM {p}_ranked WHERE k = 1
+  UNION ALL
+  SELECT {keys}, island, r.k, r.i, r.n, r.i >= w.free, CASE WHEN r.i >= w.free THEN r.i + r.n ELSE w.free END
+  FROM {p}_walk w JOIN {p}_ranked r USING ({keys}, island) WHERE r.k = w.k + 1),
+{p}_long AS (SELECT * FROM {p}_walk WHERE taken AND n > 1),
+{p} AS (
+  SELECT t.* EXCLUDE (word, second, third, two, three), CASE v.n WHEN 3 THEN three WHEN 2 THEN two ELSE word END AS word
+  FROM {p}_runs t LEFT JOIN {p}_long v ON {same} AND t.i = v.i
+  WHERE NOT EXISTS (SELECT 1 FROM {p}_long v WHERE {same} AND t.i > v.i AND t.i < v.i + v.n))"""
+
+
 _TOKENS = (
     _NAMES
     + r""",
-tokens AS (
+found_tokens AS (
   SELECT doc_id,
          unnest(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 1)) AS gap,
          unnest(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 2)) AS word,
          generate_subscripts(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 2), 1) AS i
-  FROM documents),
+  FROM documents)"""
+    + _with_names_merged("found_tokens", "tokens", "doc_id")
+    + r""",
 placed AS (
   SELECT t.*, n.surface IS NOT NULL AS hit, n.entity_id, n.entity_name, n.links,
          sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS end_at
@@ -98,12 +137,14 @@ placed AS (
 _PARAGRAPHS = (
     _NAMES
     + r""",
-etokens AS (
+found_etokens AS (
   SELECT page_id, path,
          unnest(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 1)) AS gap,
          unnest(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 2)) AS word,
          generate_subscripts(regexp_extract_all(text, '([^\p{L}\p{M}\p{N}]*)([\p{L}\p{M}\p{N}]*)', 2), 1) AS i
-  FROM elements WHERE kind <> 'section'),
+  FROM elements WHERE kind <> 'section')"""
+    + _with_names_merged("found_etokens", "etokens", "page_id, path")
+    + r""",
 eplaced AS (
   SELECT t.*, n.surface IS NOT NULL AS hit, n.entity_id, n.entity_name,
          sum(length(gap) + length(word)) OVER (PARTITION BY page_id, path ORDER BY i) AS end_at
@@ -246,19 +287,18 @@ def child_at(spark, sf):
 
 @query(
     "mention_spans",
-    f"""WITH {_TOKENS}
+    f"""WITH RECURSIVE {_TOKENS}
         SELECT doc_id, CAST(end_at - length(word) AS INTEGER) AS "start", CAST(end_at AS INTEGER) AS "end",
                word AS mention
         FROM placed WHERE hit""",
 )
 def mention_spans(spark, sf):
-    names = _names(spark, sf)
-    return mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", names, mention_ops.longest_name(names))
+    return mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", _names(spark, sf))
 
 
 @query(
     "split_at_mentions",
-    f"""WITH {_TOKENS},
+    f"""WITH RECURSIVE {_TOKENS},
         grouped AS (
           SELECT *, coalesce(sum(CAST(hit AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM placed),
@@ -273,26 +313,22 @@ def mention_spans(spark, sf):
         FROM both_kinds WHERE text <> ''""",
 )
 def split_at_mentions(spark, sf):
-    names = _names(spark, sf)
-    return mention_ops.piece_rows(_documents(spark, sf), "doc_id", "text", names, mention_ops.longest_name(names))
+    return mention_ops.piece_rows(_documents(spark, sf), "doc_id", "text", _names(spark, sf))
 
 
 @query(
     "link_entities",
-    f"""WITH {_TOKENS}
+    f"""WITH RECURSIVE {_TOKENS}
         SELECT doc_id, CAST(end_at - length(word) AS INTEGER) AS "start", CAST(end_at AS INTEGER) AS "end",
                word AS mention, entity_id, entity_name
         FROM placed WHERE hit""",
 )
 def link_entities(spark, sf):
-    names = _names(spark, sf)
-    mentions = mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", names, mention_ops.longest_name(names))
-    return mention_ops.link_mentions(mentions, names, "doc_id")
+    return mention_ops.mention_rows(_documents(spark, sf), "doc_id", "text", _names(spark, sf), entities=True)
 
 
 def _synthetic(spark, sf):
-    names = _names(spark, sf)
-    return page_ops.synthetic_pages(_pages(spark, sf), names, mention_ops.longest_name(names))
+    return page_ops.synthetic_pages(_pages(spark, sf), _names(spark, sf))
 
 
 @query("synthetic_page")
@@ -302,7 +338,7 @@ def synthetic_page(spark, sf):
 
 @query(
     "synthetic_paragraphs",
-    f"""WITH {_PARAGRAPHS}
+    f"""WITH RECURSIVE {_PARAGRAPHS}
         SELECT e.page_id, e.path, md5(e.text) AS para_id, CAST(coalesce(c.n_links, 0) AS INTEGER) AS n_links,
                coalesce(c.linked, '') AS linked
         FROM elements e LEFT JOIN cut c USING (page_id, path) WHERE e.kind <> 'section'""",
@@ -405,7 +441,7 @@ def inlink_pages(spark, sf):
 
 @query(
     "doc_message",
-    f"""WITH {_PARAGRAPHS},
+    f"""WITH RECURSIVE {_PARAGRAPHS},
         contents AS (
           SELECT e.page_id, count(*) AS n, sum(coalesce(c.n_links, 0)) AS n_links,
                  string_agg(CASE kind WHEN 'list' THEN 'LIST' ELSE 'PARAGRAPH' END || '|' || coalesce(s.heading, '') || '|'

@@ -3,13 +3,15 @@
 import random
 import re
 
+import duckdb
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from quillwork.functions import mentions as M
 from quillwork.functions.arrays import prefix_sums, scan
 from quillwork.operators import mentions as ops
-from quillwork.registry import QUERIES
+from quillwork.registry import ORACLES, QUERIES
 
 NAMES = ["new york", "york", "new york city", "é", "straße", "a b c", "b c d e"]
 TEXTS = [
@@ -52,21 +54,21 @@ def dictionary(spark):
     return spark.createDataFrame(rows, "surface string, entity_id string, entity_name string")
 
 
-# 0 names in the plan forces the joined dictionary
-@pytest.mark.parametrize("plan_names", [1000, 0])
+# no bytes to send force the joined dictionary
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 0])
 @pytest.mark.parametrize("max_words", [1, 4])
-def test_spans_equal_plain_scan(texts, dictionary, max_words, plan_names):
+def test_spans_equal_plain_scan(texts, dictionary, max_words, broadcast_bytes):
     got = {}
-    for r in ops.mention_rows(texts, "id", "text", dictionary, max_words, plan_names=plan_names).collect():
+    for r in ops.mention_rows(texts, "id", "text", dictionary, max_words, broadcast_bytes=broadcast_bytes).collect():
         got.setdefault(r.id, []).append((r.start, r.end, r.mention))
     for r in texts.collect():
         assert sorted(got.get(r.id, [])) == reference_spans(r.text, set(NAMES), max_words), r.text
 
 
-@pytest.mark.parametrize("plan_names", [1000, 0])
-def test_pieces_put_together_are_the_text(texts, dictionary, plan_names):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 0])
+def test_pieces_put_together_are_the_text(texts, dictionary, broadcast_bytes):
     pieces = {}
-    for r in ops.piece_rows(texts, "id", "text", dictionary, 3, plan_names=plan_names).collect():
+    for r in ops.piece_rows(texts, "id", "text", dictionary, 3, broadcast_bytes=broadcast_bytes).collect():
         pieces.setdefault(r.id, []).append(r)
     for r in texts.collect():
         mine = sorted(pieces.get(r.id, []), key=lambda p: p.position)
@@ -147,5 +149,33 @@ def test_registered_queries_find_names_of_several_words(spark, tmp_path):
     assert any("[new york city](" in p for p in paragraphs), paragraphs
     message = QUERIES["doc_message"](spark, str(tmp_path)).first()
     assert "new york city@5-18" in message.contents
+    con = duckdb.connect()
+    for name in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for key in ("mention_spans", "link_entities", "split_at_mentions", "synthetic_paragraphs", "doc_message"):
+        problems, rows, _ = compare(spark, con, QUERIES[key], ORACLES[key], str(tmp_path))
+        assert not problems and rows, (key, problems)
     page = QUERIES["synthetic_page"](spark, str(tmp_path)).first()
     assert any(b["text"] == "new york city" and b["kind"] == "link" for e in page.elements for b in e["bodies"])
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 0])
+def test_plan_and_result_do_not_depend_on_the_length_of_names(spark, texts, broadcast_bytes):
+    def found(words):
+        names = spark.createDataFrame([(" ".join(f"w{i}" for i in range(words)), "id", "n"), ("york", "y", "York")], "surface string, entity_id string, entity_name string")
+        body = spark.createDataFrame([(1, "York " + " ".join(f"W{i}" for i in range(words)) + " w0 w1")], "id long, text string")
+        return ops.mention_rows(body, "id", "text", names, broadcast_bytes=broadcast_bytes)
+
+    plans = []
+    for words in (2, 400):
+        df = found(words)
+        assert [len(r.mention.split()) for r in df.collect()] == ([1, words, 2] if words == 2 else [1, words])
+        plans.append(len(df._jdf.queryExecution().analyzed().toString()))
+    assert abs(plans[0] - plans[1]) < 200
+
+
+def test_null_texts_and_an_empty_dictionary(spark, dictionary):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "york")], "id long, text string")
+    for size in (1 << 25, 0):
+        assert [r.id for r in ops.mention_rows(rows, "id", "text", dictionary, broadcast_bytes=size).collect()] == [3]
+        assert ops.mention_rows(rows, "id", "text", dictionary.limit(0), broadcast_bytes=size).collect() == []
