@@ -10,12 +10,11 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
-    NaiveBayes,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression
@@ -94,19 +93,6 @@ def importances(model, features: list[str]) -> DataFrame:
     return session.createDataFrame(rows, "feature string, importance double, position int")
 
 
-def text_classifier(tokens: str, label: str, length: str, terms: int = 1 << 18) -> Pipeline:
-    """Label index, counts of terms (as many as the library keeps by default), inverse document frequency, text length, naive Bayes, in one object."""
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"),
-            CountVectorizer(inputCol=tokens, outputCol="tf", vocabSize=terms),
-            IDF(inputCol="tf", outputCol="tfidf"),
-            VectorAssembler(inputCols=["tfidf", length], outputCol="features"),
-            NaiveBayes(),
-        ]
-    )
-
-
 def category_classifier(category: str, numbers: list[str], label: str) -> Pipeline:
     """Index and encode a category, assemble it with numbers, logistic regression."""
     return Pipeline(

@@ -91,12 +91,12 @@ def feat_l2_normalize(spark, sf):
     return slots.withColumn("unit", F.round("unit", 6))
 
 
-_SHARE = "CAST('0x' || substr(md5(doc_id || '#{seed}'), 1, 8) AS BIGINT) / 4294967296.0"
+SHARE = "CAST('0x' || substr(md5(doc_id || '#{seed}'), 1, 8) AS BIGINT) / 4294967296.0"
 
 
 @query(
     "split_stable",
-    f"""SELECT doc_id, lang, CASE WHEN {_SHARE.format(seed=7)} < 0.7 THEN 'train' ELSE 'test' END AS part FROM documents""",
+    f"""SELECT doc_id, lang, CASE WHEN {SHARE.format(seed=7)} < 0.7 THEN 'train' ELSE 'test' END AS part FROM documents""",
 )
 def split_stable(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
@@ -109,7 +109,7 @@ def split_stable(spark, sf):
     f"""SELECT doc_id, quality, toxic FROM labels WHERE toxic = 0
         UNION ALL
         SELECT doc_id, quality, toxic FROM (
-          SELECT *, row_number() OVER (ORDER BY {_SHARE.format(seed=3)}, doc_id) AS i FROM labels WHERE toxic = 1)
+          SELECT *, row_number() OVER (ORDER BY {SHARE.format(seed=3)}, doc_id) AS i FROM labels WHERE toxic = 1)
         WHERE i <= (SELECT round_even(count(*) * 0.4, 0) FROM labels WHERE toxic = 1)""",
 )
 def rebalance_classes(spark, sf):

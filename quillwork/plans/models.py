@@ -6,11 +6,14 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from quillwork.operators import bayes
 from quillwork.operators import learning as L
 from quillwork.operators import metrics
 from quillwork.operators import textfeatures as T
 from quillwork.operators.features import stable_split, unit_deviation
 from quillwork.operators.lookups import lookup_join
+from quillwork.plans.features import SHARE
+from quillwork.plans.text import TOKENS, kept_tokens_sql
 from quillwork.registry import query
 from quillwork.sources.tables import spread, table
 
@@ -189,16 +192,43 @@ def ml_feature_importance(spark, sf):
     return L.importances(model, L.COUNTS)
 
 
-@query("ml_naive_bayes_text")
+@query(
+    "ml_naive_bayes_text",
+    f"""WITH d AS (SELECT doc_id, lang, length(text) AS size, {SHARE.format(seed=L.SEED)} < 0.7 AS train, {kept_tokens_sql()} AS kept
+                   FROM (SELECT *, {TOKENS} AS t FROM documents)),
+             words AS (SELECT doc_id, lang, train, unnest(kept) AS term FROM d),
+             n AS (SELECT count(*) AS n, count(DISTINCT lang) AS k FROM d WHERE train),
+             idf AS (SELECT term, ln(((SELECT n FROM n) + 1.0) / (count(DISTINCT doc_id) + 1.0)) AS idf FROM words WHERE train GROUP BY term),
+             mass AS (SELECT term, lang, idf, count(*) * idf AS mass FROM words JOIN idf USING (term) WHERE train GROUP BY term, lang, idf),
+             class AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS place,
+                              ln(count(*) + 1.0) - ln((SELECT n + k FROM n)) AS prior, sum(size) AS size FROM d WHERE train GROUP BY lang),
+             total AS (SELECT lang, sum(mass) AS mass FROM mass GROUP BY lang),
+             whole AS (SELECT class.*, ln(total.mass + class.size + (SELECT count(*) + 1 FROM idf)) AS w
+                       FROM class JOIN total USING (lang)),
+             known AS (SELECT doc_id, sum(idf) AS known FROM words JOIN idf USING (term) WHERE NOT train GROUP BY doc_id),
+             gain AS (SELECT doc_id, m.lang, sum(idf * ln(mass + 1)) AS gain
+                      FROM words t JOIN mass m USING (term) WHERE NOT train GROUP BY doc_id, m.lang),
+             score AS (SELECT d.doc_id, d.lang, c.place,
+                              prior - coalesce(known, 0) * w + coalesce(gain, 0) + d.size * (ln(c.size + 1.0) - w) AS score
+                       FROM d JOIN whole c ON NOT train LEFT JOIN known USING (doc_id)
+                            LEFT JOIN gain g ON g.doc_id = d.doc_id AND g.lang = c.lang)
+        SELECT doc_id, s.lang, CAST(coalesce(class.place, (SELECT k FROM n)) AS DOUBLE) AS label, CAST(s.place AS DOUBLE) AS prediction
+        FROM score s LEFT JOIN class ON class.lang = s.lang
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s.place) = 1""",
+)
 def ml_naive_bayes_text(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
     tokens = T.tokenize(docs.withColumn("length", F.length("text").cast("double")), "text").drop("text")
     cleaned = T.remove_stopwords(tokens, "tokens", "lang").drop("tokens")
-    train, test = stable_split(cleaned, "doc_id", 0.7, seed=L.SEED)
     # fitted on the training part only, so the test part tells how well it does on new text
-    with L.kept(train) as rows:
-        model = L.text_classifier("kept", "lang", "length").fit(rows)
-    return model.transform(test).select("doc_id", "lang", "label", "prediction")
+    train, test = stable_split(cleaned, "doc_id", 0.7, seed=L.SEED)
+    model = bayes.fit(train, "kept", "lang", "length")
+    best = bayes.predict(model, test, "doc_id", "kept", "length")
+    place = F.coalesce(F.col("c.place").cast("double"), model.classes.agg(F.count(F.lit(1)).cast("double")).scalar())
+    labelled = test.select("doc_id", "lang").join(model.classes.alias("c"), F.col("lang") == F.col("c.class"), "left")
+    return labelled.select("doc_id", "lang", place.alias("label")).join(
+        best.select("doc_id", F.col("place").cast("double").alias("prediction")), "doc_id"
+    )
 
 
 @query("ml_stage_chain")

@@ -11,7 +11,7 @@ from quillwork.registry import query
 from quillwork.sources.tables import spread, table
 
 # white space only at the end gives no token, inner white space gives empty tokens
-_TOKENS = r"string_split_regex(regexp_replace(lower(text), '\s+$', ''), '\s')"
+TOKENS = r"string_split_regex(regexp_replace(lower(text), '\s+$', ''), '\s')"
 
 
 def _documents(spark, sf, *extra):
@@ -29,7 +29,7 @@ def _joined(tokens):
 @query(
     "text_tokenize",
     f"""SELECT doc_id, array_to_string(t, '|') AS tokens, CAST(len(t) AS INTEGER) AS n_tokens
-        FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)""",
+        FROM (SELECT doc_id, {TOKENS} AS t FROM documents)""",
 )
 def text_tokenize(spark, sf):
     return _tokens(spark, sf).select("doc_id", _joined("tokens").alias("tokens"), F.size("tokens").alias("n_tokens"))
@@ -47,15 +47,21 @@ def text_regex_tokenize(spark, sf):
     return both.select("doc_id", _joined("words").alias("words"), F.size("matches").alias("n_matches"))
 
 
-def _stopword_sql() -> str:
+def kept_tokens_sql(tokens: str = "t") -> str:
+    """The tokens of a row without the stop words of its language."""
+
     def quoted(words):
         return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
     kept = " ".join(
-        f"WHEN '{code}' THEN [x for x in t if x NOT IN ({quoted(words)})]" for code, words in STOP_WORDS.items()
+        f"WHEN '{code}' THEN [x for x in {tokens} if x NOT IN ({quoted(words)})]" for code, words in STOP_WORDS.items()
     )
-    return f"""SELECT doc_id, array_to_string(CASE lang {kept} ELSE t END, '|') AS kept
-               FROM (SELECT doc_id, lang, {_TOKENS} AS t FROM documents)"""
+    return f"CASE lang {kept} ELSE {tokens} END"
+
+
+def _stopword_sql() -> str:
+    return f"""SELECT doc_id, array_to_string({kept_tokens_sql()}, '|') AS kept
+               FROM (SELECT doc_id, lang, {TOKENS} AS t FROM documents)"""
 
 
 @query("text_stopwords", _stopword_sql())
@@ -67,7 +73,7 @@ def text_stopwords(spark, sf):
 @query(
     "text_ngrams",
     f"""SELECT doc_id, array_to_string([t[i] || ' ' || t[i + 1] for i in range(1, len(t))], '|') AS bigrams
-        FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)""",
+        FROM (SELECT doc_id, {TOKENS} AS t FROM documents)""",
 )
 def text_ngrams(spark, sf):
     return T.ngrams(_tokens(spark, sf), "tokens", 2).select("doc_id", _joined("ngrams").alias("bigrams"))
@@ -82,7 +88,7 @@ def text_hashing_tf(spark, sf):
 @query(
     "text_tfidf",
     f"""WITH p AS (SELECT doc_id, term, count(*) AS tf
-                   FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1, 2),
+                   FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1, 2),
              d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
         SELECT doc_id, term, tf, df,
                round(tf * ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)), 6) AS tfidf
@@ -94,7 +100,7 @@ def text_tfidf(spark, sf):
 
 @query(
     "text_count_vectorize",
-    f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents),
+    f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),
              v AS (SELECT term FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 2
                    ORDER BY count(*) DESC, term LIMIT 20)
         SELECT doc_id, term, count(*) AS n FROM t WHERE term IN (SELECT term FROM v) GROUP BY 1, 2""",

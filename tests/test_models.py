@@ -1,5 +1,6 @@
 """Models: known fits, seeds, metrics against the library's evaluators, label-bearing text."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -7,13 +8,13 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from quillwork.operators import learning, metrics
+from quillwork.operators import bayes, learning, metrics
 from quillwork.operators import textfeatures as T
 from quillwork.registry import QUERIES
 
 ROWS_ONLY = [
     "feat_vector_index", "text_hashing_tf", "ml_logistic_regression", "ml_score_new_rows", "ml_tree", "ml_forest",
-    "ml_gbt", "ml_model_compare", "ml_feature_importance", "ml_naive_bayes_text", "ml_stage_chain", "ml_kmeans",
+    "ml_gbt", "ml_model_compare", "ml_feature_importance", "ml_stage_chain", "ml_kmeans",
     "ml_kmeans_sizes", "ml_kmeans_sweep", "ml_als", "ml_recommend_topk",
 ]
 
@@ -112,3 +113,51 @@ def test_models_can_be_fitted_after_an_observed_write(spark, sf):
     assert QUERIES["ingest_metrics"](spark, sf).count() == 1
     assert QUERIES["ml_logistic_regression"](spark, sf).count() == 9
     assert QUERIES["ml_model_compare"](spark, sf).count() == 3
+
+
+def _library_bayes(train, test):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer, VectorAssembler
+
+    stages = [
+        StringIndexer(inputCol="lang", outputCol="label", handleInvalid="keep"), CountVectorizer(inputCol="t", outputCol="tf"),
+        IDF(inputCol="tf", outputCol="tfidf"), VectorAssembler(inputCols=["tfidf", "size"], outputCol="features"), NaiveBayes(),
+    ]
+    return {r.id: r.prediction for r in Pipeline(stages=stages).fit(train).transform(test).collect()}
+
+
+def test_bayes_tables_predict_as_the_library(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(300):
+        lang = rng.choice(["en", "en", "de", "fr"])
+        words = [rng.choice("abcdefgh") + rng.choice([lang, "x", "y"]) for _ in range(rng.randrange(12))]
+        rows.append((i, lang, words, float(len(words)), "extra"))
+    df = spark.createDataFrame(rows, "id long, lang string, t array<string>, size double, class string")
+    train, test = df.where("id < 200"), df.where("id >= 200")
+    model = bayes.fit(train, "t", "lang", "size")
+    got = {r.id: float(r.place) for r in bayes.predict(model, test, "id", "t", "size").collect()}
+    assert got == _library_bayes(train, test)
+    assert model.classes.orderBy("place").first()["class"] == "en"
+
+
+def test_bayes_edges(spark):
+    schema = "id long, lang string, t array<string>, size double"
+    rows = [(1, "a", ["x", "x"], 2.0), (2, "b", ["y"], 1.0), (3, None, ["z"], 1.0), (4, "b", [], 0.0)]
+    model = bayes.fit(spark.createDataFrame(rows, schema), "t", "lang", "size")
+    assert {r.term for r in model.terms.collect()} == {"x", "y"}
+    asked = spark.createDataFrame([(1, None, ["x"] * 5, 0.0), (2, None, [], 0.0), (3, None, ["new"], 0.0), (4, None, None, 0.0)], schema)
+    got = {r.id: r["class"] for r in bayes.predict(model, asked, "id", "t", "size").collect()}
+    assert got == {1: "a", 2: "b", 3: "b", 4: "b"}  # without known words the more frequent class
+    assert bayes.predict(model, asked.limit(0), "id", "t", "size").collect() == []
+
+
+def test_bayes_model_has_no_largest_vocabulary(spark):
+    """More terms than the library keeps by default, one of them decisive."""
+    wide = spark.range(300_000).select(F.col("id"), F.lit("a").alias("lang"), F.array(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("t"), F.lit(1.0).alias("size"))
+    b = spark.createDataFrame([(-1, "b", ["rare"], 1.0)], "id long, lang string, t array<string>, size double")
+    model = bayes.fit(wide.unionByName(b), "t", "lang", "size")
+    assert model.terms.count() == 300_001
+    terms = {r.term: [w["class"] for w in r.weights] for r in model.terms.where("term IN ('rare', 't299999')").collect()}
+    assert terms == {"rare": ["b"], "t299999": ["a"]}
