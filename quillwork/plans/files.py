@@ -11,6 +11,7 @@ from quillwork.operators import records
 from quillwork.registry import query
 from quillwork.sources import tables, writers
 from quillwork.sources.tables import table
+from quillwork.streaming import counts
 
 
 def _orders_with_gaps(spark, sf):
@@ -259,3 +260,18 @@ def ingest_metrics(spark, sf):
         [tuple(metrics[c] for c in ("rows_done", "chunks_done", "chars_done"))],
         "rows_done bigint, chunks_done bigint, chars_done bigint",
     )
+
+
+@query(
+    "ingest_progress",
+    f"""SELECT chunk, count(*) AS rows, sum(length(content))::BIGINT AS chars, true AS timed
+        FROM ({_PAGE_ROWS.replace("100", "200")}) GROUP BY chunk""",
+)
+def ingest_progress(spark, sf):
+    """A row for each chunk that is ingested; the times differ from run to run, so the query tells that they are there."""
+    rows = _page_rows(spark, sf, 200)
+    own = counts.stream_session(spark)
+    chunks = counts.file_stream(own, writers.write_chunks(rows, "progress-input"), rows.schema, files_per_batch=1)
+    progress = counts.chunk_progress(own, chunks, "chunk", "content")
+    timed = (F.col("seconds") > 0) & (F.abs(F.col("seconds_a_row") * F.col("rows") - F.col("seconds")) < 1e-6)
+    return progress.select("chunk", "rows", "chars", timed.alias("timed"))

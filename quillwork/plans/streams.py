@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillwork.registry import query
-from quillwork.sources import writers
+from quillwork.sources.storage import fresh_path
 from quillwork.sources.tables import table
 from quillwork.streaming import counts
 
@@ -25,13 +25,22 @@ def stream_word_count(spark, sf):
     return counts.running_count(spark, counts.words(lines, "text"), ["word"], ["word"])
 
 
-@query("stream_batch_count")
+@query(
+    "stream_batch_count",
+    """SELECT doc_id % 4 AS part, word, count(*) AS n
+       FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1, 2""",
+)
 def stream_batch_count(spark, sf, files=4):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    folder = writers.write_fresh(docs.repartition(files, "doc_id"), "stream-input")
+    docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % files).alias("part"))
+    folder = fresh_path(spark, "stream-input")
+    docs.repartition(files, "part").write.partitionBy("part").parquet(folder)
     own = counts.stream_session(spark)
     lines = counts.file_stream(own, folder, docs.schema, files_per_batch=1)
-    return counts.batch_count(spark, counts.words(lines, "text"), "word")
+    words = lines.select(F.explode(F.split("text", " ")).alias("word"), F.col("_metadata.file_path").alias("file"))
+    # the order of the batches is that of the files' times; the manifest tells which file a batch was
+    counted = counts.batch_count(spark, words, "word", "file")
+    part = F.regexp_extract(F.col("files")[0], r"/part=(\d+)/", 1).cast("bigint")
+    return counted.select(part.alias("part"), "word", "n")
 
 
 @query(
@@ -43,27 +52,57 @@ def stream_batch_count(spark, sf, files=4):
 )
 def stream_sliding_count(spark, sf):
     events = _stream(spark, sf, "events").select("ts", "event_type")
-    return counts.sliding_count(spark, events, "ts", "event_type", "20 seconds", "10 seconds")
+    return counts.sliding_count(spark, events, "ts", "event_type", "20 seconds", "10 seconds", watermark="1 hour")
 
 
-@query(
-    "stream_hashtag_topk",
-    """SELECT tag, count(*) AS count
-       FROM (SELECT unnest([lower('#' || event_type), lower('#K' || json_extract_string(props, '$.k'))]) AS tag FROM events)
-       GROUP BY tag ORDER BY count DESC, tag LIMIT 10""",
-)
-def stream_hashtag_topk(spark, sf):
-    events = _stream(spark, sf, "events")
+def _messages(events):
+    """A text with two hashtags for each event."""
     message = F.concat_ws(
         " ",
         F.lit("seen"),
         F.concat(F.lit("#"), F.col("event_type")),
         F.concat(F.lit("#K"), F.get_json_object("props", "$.k")),
     )
-    counts.hashtag_topk(spark, events.select(message.alias("text")), "text", 10, "quillwork_tags")
+    return events.select("event_id", message.alias("text"))
+
+
+_TAGS = "SELECT event_id, unnest([lower('#' || event_type), lower('#K' || json_extract_string(props, '$.k'))]) AS tag FROM events"
+
+
+@query(
+    "stream_hashtag_topk",
+    f"SELECT tag, count(*) AS count FROM ({_TAGS}) GROUP BY tag ORDER BY count DESC, tag LIMIT 10",
+)
+def stream_hashtag_topk(spark, sf):
+    counts.hashtag_topk(spark, _messages(_stream(spark, sf, "events")).select("text"), "text", 10, "quillwork_tags")
     return spark.sql("SELECT tag, count FROM quillwork_tags")
 
 
+@query(
+    "stream_live_table",
+    f"""(SELECT 0 AS reading, tag, count(*) AS count FROM ({_TAGS}) WHERE event_id % 2 = 0 GROUP BY tag ORDER BY count DESC, tag LIMIT 10)
+        UNION ALL
+        (SELECT 1 AS reading, tag, count(*) AS count FROM ({_TAGS}) GROUP BY tag ORDER BY count DESC, tag LIMIT 10)""",
+)
+def stream_live_table(spark, sf):
+    """The live table read twice by SQL while the stream runs: after the even events, and after all of them."""
+    messages = _messages(table(spark, sf, "events"))
+    folder = fresh_path(spark, "live-input")
+    own = counts.stream_session(spark)
+    own.createDataFrame([], messages.schema).write.parquet(folder)
+    lines = counts.file_stream(own, folder, messages.schema)
+    running, live = counts.live_hashtags(own, lines, "text", 10, every="500 milliseconds")
+    readings = []
+    with running:
+        for turn in (0, 1):
+            messages.where(F.col("event_id") % 2 == turn).write.mode("append").parquet(folder)
+            if not running.wait_until_idle(600, quiet=3):
+                raise TimeoutError("the stream did not come to rest")
+            # a version never changes, so it may be read after the next one is there
+            readings.append(spark.read.schema(live.schema).parquet(f"{live.path}/versions/{live.latest()}").select(F.lit(turn).alias("reading"), "tag", "count"))
+    return readings[0].unionByName(readings[1])
+
+
 @query(
     "stream_tumbling_append",
     """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillwork.sources.storage import fresh_path, shared_folder
+from quillwork.streaming.live import BatchProgress, LiveTable, Running, start
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
@@ -38,24 +39,39 @@ def file_stream(
 
 
 def run_to_end(
-    stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str, every: str | None = None
+    stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str, every: str | None = None, seconds: float = 3600,
+    states: list[dict] | None = None,
 ) -> None:
-    """Feed every micro-batch to ``each``; all available input once, or a batch per ``every`` interval."""
-    trigger = {"processingTime": every} if every else {"availableNow": True}
+    """Feed every micro-batch to ``each``: all available input once, or a batch per ``every`` interval.
+
+    With an interval the stream is ended when nothing more has come for three intervals' time or
+    ``seconds`` are over, whichever is first. ``states`` takes the state's rows and late rows of the last batches.
+    """
+    if every:
+        with start(stream, each, mode, every) as running:
+            quiet = 3 * max(1.0, float(every.split()[0]) if "second" in every and "milli" not in every else 1.0)
+            running.wait_until_idle(seconds, quiet)
+        return
     running = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(each)
         .option("checkpointLocation", fresh_path(stream.sparkSession, "stream"))
-        .trigger(**trigger)
+        .trigger(availableNow=True)
         .start()
     )
     try:
         running.awaitTermination()
+        if states is not None:
+            states += [
+                {"batch_id": p["batchId"], "rows": sum(o["numRowsTotal"] for o in p["stateOperators"]),
+                 "late": sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])}
+                for p in running.recentProgress
+            ]
     finally:
         running.stop()
 
 
-def batch_log(spark: SparkSession, stream: DataFrame, mode: str, per_batch=None) -> DataFrame:
+def batch_log(spark: SparkSession, stream: DataFrame, mode: str, per_batch=None, states: list[dict] | None = None) -> DataFrame:
     """Run the stream and return all rows of all batches with their ``batch_id``."""
     path = fresh_path(spark, "batches")
     ran = []
@@ -65,7 +81,7 @@ def batch_log(spark: SparkSession, stream: DataFrame, mode: str, per_batch=None)
         rows = per_batch(batch) if per_batch else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    run_to_end(stream, write, mode)
+    run_to_end(stream, write, mode, states=states)
     if not ran:  # nothing arrived: the same columns without rows
         none = spark.createDataFrame([], stream.schema)
         return (per_batch(none) if per_batch else none).withColumn("batch_id", F.lit(0)).where("false")
@@ -87,42 +103,66 @@ def running_count(spark: SparkSession, stream: DataFrame, keys: list[str | Colum
     return log.groupBy(*names).agg(F.max_by("n", "batch_id").alias("n"))
 
 
-def batch_count(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame:
-    """Counts of each batch by itself, as ``batch_id, key, n``."""
-    return batch_log(
-        spark, stream, "append", lambda b: b.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    )
+def batch_count(spark: SparkSession, stream: DataFrame, key: str, file: str | None = None) -> DataFrame:
+    """Counts of each batch by itself, as ``batch_id, key, n``.
+
+    With the name of a column that holds each row's file, also the manifest of the batches: ``files``, the sorted
+    files a batch was made of. The counts are those of these files, however they were cut into batches.
+    """
+    if file is None:
+        return batch_log(spark, stream, "append", lambda b: b.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    log = batch_log(
+        spark, stream, "append",
+        lambda b: b.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.collect_set(file).alias("files")),
+    )
+    manifest = log.select("batch_id", F.explode("files").alias("f")).groupBy("batch_id").agg(F.array_sort(F.collect_set("f")).alias("files"))
+    return log.select("batch_id", key, "n").join(manifest, "batch_id")
 
 
 def sliding_count(
-    spark: SparkSession, stream: DataFrame, ts: str, key: str, length: str, slide: str, watermark: str | None = None
+    spark: SparkSession, stream: DataFrame, ts: str, key: str, length: str, slide: str, watermark: str | None = None,
+    states: list[dict] | None = None,
 ) -> DataFrame:
     """``window_start, key, n`` over event-time windows that overlap.
 
     Without a watermark every late event counts and the state keeps all windows; with one, windows
     older than it are dropped from the state and events later than it are not counted.
+    ``states`` is filled with a dict per batch: batch_id, rows (windows and keys kept) and late (windows of
+    events that came too late), so that neither growth nor loss goes unseen.
     """
     timed = stream.withColumn("_at", F.col(ts).cast("timestamp"))
     if watermark:
         timed = timed.withWatermark("_at", watermark)
     counts = timed.groupBy(F.window("_at", length, slide), key).agg(F.count(F.lit(1)).alias("n"))
-    log = batch_log(spark, counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), key, "n"), "update")
+    log = batch_log(spark, counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), key, "n"), "update", states=states)
     return log.groupBy("window_start", key).agg(F.max_by("n", "batch_id").alias("n"))
 
 
+def top_tags(lines: DataFrame, column: str) -> DataFrame:
+    """``tag, count`` of the words that begin with a hash sign, in lower case."""
+    tags = words(lines, column).select(F.lower("word").alias("tag")).where(F.startswith("tag", F.lit("#")))
+    return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("count"))
+
+
+def live_hashtags(
+    spark: SparkSession, lines: DataFrame, column: str, k: int, every: str | None = None, checkpoint: str | None = None
+) -> tuple[Running, LiveTable]:
+    """Start to publish the ``k`` most frequent hashtags after every batch; the table is read while the stream runs."""
+    tags = top_tags(lines, column)
+    live = LiveTable(spark, tags.schema)
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        live.publish(batch.orderBy(F.desc("count"), "tag").limit(k), batch_id)
+
+    return start(tags, publish, "complete", every, checkpoint), live
+
+
 def hashtag_topk(spark: SparkSession, lines: DataFrame, column: str, k: int, name: str) -> None:
     """Publish the ``k`` most frequent hashtags as table ``name``, replaced after every batch.
 
     A table of that name from an earlier run goes first; without input the table is empty.
     """
     spark.createDataFrame([], "tag string, count long").createOrReplaceTempView(name)
-    tags = (
-        words(lines, column)
-        .select(F.lower("word").alias("tag"))
-        .where(F.startswith("tag", F.lit("#")))
-        .groupBy("tag")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
     path = fresh_path(spark, "hashtags")
 
     def publish(batch: DataFrame, batch_id: int) -> None:
@@ -130,7 +170,7 @@ def hashtag_topk(spark: SparkSession, lines: DataFrame, column: str, k: int, nam
         top.write.mode("overwrite").parquet(f"{path}/{batch_id}")
         spark.read.parquet(f"{path}/{batch_id}").createOrReplaceTempView(name)
 
-    run_to_end(tags, publish, "complete")
+    run_to_end(top_tags(lines, column), publish, "complete")
 
 
 def closed_windows(spark: SparkSession, stream: DataFrame, ts: str, key: str, length: str, watermark: str) -> DataFrame:
@@ -139,3 +179,21 @@ def closed_windows(spark: SparkSession, stream: DataFrame, ts: str, key: str, le
     counts = timed.groupBy(F.window("_at", length), key).agg(F.count(F.lit(1)).alias("n"))
     log = batch_log(spark, counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), key, "n"), "append")
     return log.drop("batch_id")
+
+
+def chunk_progress(spark: SparkSession, chunks: DataFrame, chunk: str, size: str) -> DataFrame:
+    """Write a stream of chunk files again, a batch a file: ``chunk, rows, chars, rows_done, seconds, seconds_a_row``.
+
+    ``chunk`` numbers the chunks and ``size`` is a text column whose characters are counted.
+    """
+    progress, path = BatchProgress(spark), fresh_path(spark, "chunks")
+
+    def write(batch: DataFrame, batch_id: int) -> int:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        return batch.sparkSession.read.parquet(f"{path}/batch={batch_id}").count()
+
+    run_to_end(chunks, progress.timed(write), "append")
+    written = spark.read.schema(chunks.schema).parquet(f"{path}/batch=*").select("*", F.col("_metadata.file_path").alias("_file"))
+    batch_id = F.regexp_extract("_file", r"/batch=(\d+)/", 1).cast("bigint")
+    sizes = written.groupBy(batch_id.alias("batch_id")).agg(F.min(chunk).alias("chunk"), F.sum(F.length(size)).alias("chars"))
+    return progress.table().join(sizes, "batch_id").select("chunk", "rows", "chars", "rows_done", "seconds", "seconds_a_row")
