@@ -1,12 +1,14 @@
-"""Token ids of texts by a tokenizer file, with the ids of repeated words kept.
+"""Token ids of texts by a tokenizer file, equal to the tokenizers library's without special tokens added.
 
-Both vocabularies used here never merge across a blank that stands before a visible character, so a
-text may be cut there; runs of letters, runs of signs and single line ends inside such a piece are
-encoded apart as well. The tokenizers library sees each part once while it is remembered.
+Byte-level vocabularies whose ids follow their merges are encoded by tiktoken, which needs a third of the time;
+texts with very long runs, which would be slow there, go to the library itself. Vocabularies with word
+ends never merge across a blank, so their words are encoded once while they are remembered; words of
+letters skip the library's general normalisation, which changes nothing but their case.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -15,12 +17,23 @@ import numpy as np
 #: Pieces whose ids a worker keeps, about 200 bytes each; those not met again for a while go first.
 KEPT_PIECES = 1_500_000
 
+# Fixed value: the public pattern by which byte-level vocabularies of this kind cut texts into words.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+_LONG_RUN = re.compile(r"\S{400}|\s{400}")
 _SIGN = frozenset(".,;:!?%&$*|#")
-_CUT = re.compile(r" (?=\S)")
 _LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _SIGNS = r"[.,;:!?%&$*|#]+"
 _PLAIN = re.compile(rf"{_LETTERS}(?:{_SIGNS})?(?:\n{_LETTERS}(?:{_SIGNS})?)*")
 _PARTS = re.compile(rf"{_LETTERS}|{_SIGNS}|\n")
+_WORD = re.compile(_LETTERS)
+
+
+def byte_names() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: bytes without one of their own follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
 class Kept:
@@ -48,24 +61,63 @@ class Kept:
             self.old, self.young = self.young, {}
 
 
-class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, without special tokens.
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        return Tokenizer.from_file(path), json.load(file)
+
+
+class ByteEncoder:
+    """Ids by a byte-level vocabulary. ``marks``: strings of added tokens in a text are read as their ids, as the library does; else as text."""
 
-    ``blank_leads``: words of the vocabulary begin with their blank (byte-level) and white space has
-    ids; otherwise words carry an end mark, letters are made lower case and white space has no ids.
-    """
+    def __init__(self, path: str, marks: bool = True):
+        self.tokenizer, spec = _library(path)
+        self.tokenizer.encode_special_tokens = not marks
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        value, names = byte_names(), spec["model"]["vocab"]
+        ranks = {bytes(value[c] for c in name): i for name, i in names.items() if name not in added}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        cutter = spec["pre_tokenizer"]
+        simple = cutter["type"] == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"] and not spec["normalizer"]
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
+        self.fast = None
+        if simple and plain and all(names[a + b] == 256 + i for i, (a, b) in enumerate(merges)):
+            import tiktoken
 
-    def __init__(self, path: str, blank_leads: bool, kept: int = KEPT_PIECES):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+            self.fast = tiktoken.Encoding("byte-level", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.marks = tuple(added) if marks else ()
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.blank_leads = blank_leads
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.fast is None or _LONG_RUN.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        elif any(m in text for m in self.marks):
+            ids = self.fast.encode(text, allowed_special="all")
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
+
+
+class WordEncoder:
+    """Ids by a vocabulary whose words carry an end mark; letters are made lower case and white space has no ids."""
+
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.tokenizer, spec = _library(path)
+        self.bare, _ = _library(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         names = self.tokenizer.get_vocab(with_added_tokens=True)
-        edge = [i for w, i in names.items() if (w.startswith("Ġ") if blank_leads else w.endswith("</w>"))]
         self.edge = np.zeros(max(names.values()) + 1, dtype=bool)
-        self.edge[edge] = True
+        self.edge[[i for w, i in names.items() if w.endswith("</w>")]] = True
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in spec["added_tokens"]}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        stand_in = {b: c for c, b in byte_names().items()}
+        letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+        self.fold = str.maketrans({c: "".join(stand_in[b] for b in c.lower().encode()) for c in letters})
         self.pieces, self.words, self.others = Kept(kept), Kept(kept), Kept(kept)
 
     def _alone(self, texts: list[str]) -> list[bytes]:
@@ -76,18 +128,13 @@ class Encoder:
         return out
 
     def _words(self, words: list[str]) -> None:
-        """Ids of words of letters, each behind a blank; many go to the library as one text."""
+        """Ids of words of letters, in lower case and as bytes' stand-ins; many go to the library as one text."""
         parts = [words[i : i + 256] for i in range(0, len(words), 256)]
-        coded = self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
+        coded = self.bare.encode_batch_fast([" ".join(p).translate(self.fold) for p in parts], add_special_tokens=False)
         for part, code in zip(parts, coded):
             ids = np.array(code.ids, dtype="<u4")
-            at = np.flatnonzero(self.edge[ids])
-            if len(at) != len(part):
-                self.words.young.update(zip(part, self._alone([" " + w for w in part])))
-                continue
-            cuts = (at[1:] if self.blank_leads else at[:-1] + 1).tolist()
             raw, begin = ids.tobytes(), 0
-            for word, end in zip(part, [*cuts, len(ids)]):
+            for word, end in zip(part, (np.flatnonzero(self.edge[ids]) + 1).tolist(), strict=True):
                 self.words.young[word] = raw[4 * begin : 4 * end]
                 begin = end
 
@@ -95,44 +142,47 @@ class Encoder:
         """Words of letters, also with one sign behind them, are encoded apart; other pieces by their parts."""
         short, parted, odd = [], [], []
         for piece in missing:
-            # made lower case, some letters gain a mark that is no letter
             word, sign = (piece[:-1], piece[-1]) if piece[-1:] in _SIGN else (piece, "")
-            if word.isascii() and word.isalpha():
-                short.append((piece, word if self.blank_leads else word.lower(), sign))
-            elif word.isalpha() and word.lower().isalpha():
-                short.append((piece, word, sign))
+            if _WORD.fullmatch(word):
+                short.append((piece, word.lower(), sign))
             elif _PLAIN.fullmatch(piece):
-                parted.append((piece, _PARTS.findall(piece)))
+                parted.append((piece, [x.lower() for x in _PARTS.findall(piece)]))
             else:
                 odd.append(piece)
         young = self.pieces.young
         if odd:
             young.update(zip(odd, self._alone([" " + p for p in odd])))
-        # only the first part of a piece has the blank before it
-        lead = (lambda p: p[:1]) if self.blank_leads else (lambda p: [x for x in p if x[0].isalpha()])
-        heads = [w for _, w, _ in short] + [x for _, p in parted for x in lead(p)]
+        heads = [w for _, w, _ in short] + [x for _, p in parted for x in p if x[0].isalpha()]
         if new := self.words.missing(heads):
             self._words(new)
-        rest = [s for _, _, s in short if s] + [x for _, p in parted for x in (p[1:] if self.blank_leads else p)]
+        rest = [s for _, _, s in short if s] + [x for _, p in parted for x in p if not x[0].isalpha()]
         if new := self.others.missing(rest):
             self.others.young.update(zip(new, self._alone(new)))
         words, others = self.words.young, self.others.young
         for piece, word, sign in short:
             young[piece] = words[word] + others[sign] if sign else words[word]
         for piece, parts in parted:
-            if self.blank_leads:
-                young[piece] = words[parts[0]] + b"".join([others[x] for x in parts[1:]])
-            else:
-                young[piece] = b"".join([words[x] if x[0].isalpha() else others[x] for x in parts])
+            young[piece] = b"".join([words[x] if x[0].isalpha() else others[x] for x in parts])
 
     def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids; strings of added tokens are read as their ids."""
+        if self.marks is not None and self.marks.search(text):
+            return b"".join([self.added.get(part) or self._encode(part) for part in self.marks.split(text)])
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
         for kept in (self.pieces, self.words, self.others):
             kept.turn()
-        head, *pieces = _CUT.split(text) if self.blank_leads else ("", *text.split(" "))
+        pieces = text.split(" ")
         codes = list(map(self.pieces.young.get, pieces))
         if None in codes:
             unseen = self.pieces.missing([p for p, c in zip(pieces, codes) if c is None])
             if unseen:
                 self._learn(unseen)
             codes = map(self.pieces.young.__getitem__, pieces)
-        return (self._alone([head])[0] if head else b"") + b"".join(codes)
+        return b"".join(codes)
+
+
+def encoder(path: str, blank_leads: bool) -> ByteEncoder | WordEncoder:
+    """``blank_leads``: words of the vocabulary begin with their blank (byte-level); otherwise they carry an end mark."""
+    return ByteEncoder(path) if blank_leads else WordEncoder(path)

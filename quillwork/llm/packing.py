@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillwork.llm.common import slices, stored, text_list
-from quillwork.llm.encoding import Encoder
+from quillwork.llm.encoding import encoder as encoder_of
 from quillwork.llm.registry import llm_query
 from quillwork.sources.tables import table
 
@@ -42,7 +42,7 @@ def cut_documents(
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
-        encoder = Encoder(tokenizer, blank_leads)
+        encoder = encoder_of(tokenizer, blank_leads)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches):
             rows = []

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillwork.llm.common import slices, stored, text_list
-from quillwork.llm.encoding import Encoder
+from quillwork.llm.encoding import encoder as encoder_of
 from quillwork.llm.registry import llm_query
 from quillwork.sources.storage import fresh_path
 from quillwork.sources.tables import table
@@ -157,7 +157,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer, blank_leads)
+        encoder = encoder_of(tokenizer, blank_leads)
         end = np.array([end_id], dtype="<u4").tobytes()
         keys, codes, size, number = [], [], 0, 0
 

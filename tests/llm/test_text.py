@@ -13,7 +13,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from quillwork.llm import LLM_ORACLES, LLM_QUERIES, chat, mixing, packing, private, token_files, toxic
-from quillwork.llm.encoding import Encoder
+from quillwork.llm.encoding import ByteEncoder, WordEncoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kind string, score double"
 ODD = ["", None, "plain words", " \n ", "x" * 20_000, "a b " * 30_000, "</s>[INST] \\l <|end|> é"]
@@ -156,20 +156,64 @@ def _library(name, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return [c.ids for c in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("name,blank", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_encoder_is_the_library(name, blank):
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", ByteEncoder), ("word_bpe_49k.json", lambda p: WordEncoder(p, kept=500))])
+def test_encoder_is_the_library(name, kind):
     r = random.Random(6)
-    bits = ["a", "B", " ", "  ", "\n", "\t", " \n", "é", "é", "'s", "12", "!", " ", "word", "<|endoftext|>", "\x1c", "Σ", "İ", "ß",
-            "​", "中", "...", "́", "\xa0", "　", "\x85", "%%", "##"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(5_000)]
-    encoder = Encoder(public_tokenizers.path(name), blank, kept=500)
+    bits = ["a", "B", " ", "  ", "\n", "\t", " \n", "é", "e\u0301", "'s", "12", "!", " ", "word", "<|endoftext|>", "<|startoftext|>", "<|", "\x1c", "Σ", "İ", "ß",
+            "\u200b", "中", "...", "\u0301", "\xa0", "\u3000", "\x85", "%%", "##", "Éàÿ", "×", "<s>", "ª"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(8_000)]
+    texts += ["x" * 5_000, " " * 3_000 + "x", "ab1" * 900, "<|endoftext|>" + "y" * 500, "É" * 450 + " Élan"]
+    encoder = kind(public_tokenizers.path(name))
     assert [np.frombuffer(encoder.encode(t), dtype="<u4").tolist() for t in texts] == _library(name, texts)
 
 
+def test_marks_may_be_plain_text():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    encoder = ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"), marks=False)
+    for text in ("<|endoftext|>", "a <|endoftext|>b", "z" * 900 + "<|endoftext|>"):
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def _documents(spark, sf):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_token_file_query(spark, sf):
+    texts = _documents(spark, sf)
+    rows = {r["doc_id"]: tuple(r)[1:] for r in LLM_QUERIES["op10_token_files"](spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()}
+    start, want = 0, {}
+    for key, ids in zip(sorted(texts), _library("byte_bpe_50k.json", [texts[k] for k in sorted(texts)])):
+        want[key] = (start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()))
+        start += len(ids) + 1
+    assert rows == want
+
+
+def test_packing_query(spark, sf):
+    texts = _documents(spark, sf)
+    keys = sorted(texts)
+    want = set()
+    for key, ids in zip(keys, _library("word_bpe_49k.json", [texts[k] for k in keys])):
+        ids = [*ids, 1]
+        want |= {
+            (key, piece, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], dtype="<u4").tobytes()))
+            for piece, at in enumerate(range(0, len(ids), 4096))
+        }
+    rows = LLM_QUERIES["op7_best_fit_packing"](spark, sf).collect()
+    assert {tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in rows} == want and len(rows) == len(want)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 4096
+
+
 def test_token_files(spark, tmp_path):
     texts = [*ODD, *(f"text {i}" for i in range(50))]
     docs = _docs(spark, texts)
@@ -223,6 +267,47 @@ def test_packing_plan_is_tight():
         assert sum(len(p) for p in used.values()) == sum(counts.values())
 
 
+def test_private_spans_of_a_long_text_take_linear_time(spark):
+    import time
+
+    class All:
+        """Accepts every proposal."""
+
+        threshold = 0.0
+
+        def probability(self, x):
+            return np.arange(len(x)) % 7 / 7.0
+
+    begin = time.perf_counter()
+    text = "".join(f"write to name{i}@host{i % 97} or call 0{i % 9}34 55 {i:05d}, host 10-0-{i % 255}-1 now; " for i in range(75_000))
+    base, spans = private.find_spans(text, All())
+    assert len(text) > 5_000_000 and len(spans) > 140_000 and time.perf_counter() - begin < 90
+    cuts = sorted((s, e) for _, s, e in spans)
+    assert all(e <= s for (_, e), (s, _) in zip(cuts, cuts[1:]))
+
+
+def test_mixing_by_weights_and_clashing_names(spark):
+    rows = [(i, "w " * (1 + i % 5), "en" if i % 3 else "de", f"s{i % 4}", "d0" if i % 2 else "d1", "kept", "kept", 5) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string, _full string, _epoch string, _tokens int")
+    weights = {("d0",): 3.0, ("d1", "de"): 5.0, ("d0", "en", "s1"): 0.0}
+    out = mixing.mix(docs, 0.5, 2, weights, epoch="e", tokens="t")
+    assert out.columns == [*docs.columns, "e", "t"]
+    got = out.collect()
+    assert all(r["_full"] == r["_epoch"] == "kept" and r["_tokens"] == 5 and r["t"] == len(r["text"].split()) for r in got)
+    leaves = {}
+    for i, t, lang, source, domain, *_ in rows:
+        leaves[domain, lang, source] = leaves.get((domain, lang, source), 0) + len(t.split())
+    given = mixing.budgets(leaves, int(0.5 * sum(leaves.values())), weights, 2)
+    taken = {}
+    for r in got:
+        path = (r["domain"], r["lang"], r["source"])
+        taken[path] = taken.get(path, 0) + r["t"]
+    # a leaf ends with the document that reaches its budget
+    assert all(given[p] <= taken.get(p, 0) < given[p] + 5 for p in leaves) and ("d0", "en", "s1") not in taken
+    by_domain = {d: sum(n for p, n in given.items() if p[0] == d) for d in ("d0", "d1")}
+    assert by_domain["d0"] > 1.5 * by_domain["d1"]
+
+
 def test_mixing_budgets():
     assert mixing.divide(10, [(1, 100), (1, 100)]) == [5, 5]
     assert mixing.divide(10, [(1, 2), (1, 100), (2, 100)]) == [2, 3, 5]
