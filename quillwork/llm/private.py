@@ -33,6 +33,8 @@ from quillwork.sources.tables import table
 SAMPLE_DOCUMENTS = 4_000
 #: Spans taken from the sample at most.
 SAMPLE_SPANS = 40_000
+#: Spans whose features are held together.
+SCORED_AT_ONCE = 4096
 #: Share of chosen spans that has to be right on the documents kept out.
 PRECISION = 0.95
 
@@ -236,28 +238,28 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents:
         precision: float = PRECISION) -> Boosted | None:
     """Trees fitted on proposals and altered base spans from at most ``documents`` documents; None where there is one class only.
 
-    A quarter of the sampled documents, by hash, calibrates the threshold.
+    A quarter of the sampled documents, by hash, calibrates the threshold. Spans are drawn by the hash of their
+    document and place, so that equal ones weigh as much as they occur.
     """
     sample = bounded_sample(docs.select(doc_id), doc_id, documents)
     width = len(features("a1", ("secret", 0, 2)))
-    schema = pa.schema([("held", pa.bool_()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("h", pa.int64()), ("place", pa.int64()), ("held", pa.bool_()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def describe(batches):
         for batch in slices(batches):
-            held, y, x = [], [], []
-            for body, out in zip(text_list(batch.column(0)), batch.column(1).to_pylist()):
-                for label, row in taught(body):
-                    held.append(out)
-                    y.append(label)
-                    x.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((held, y, x), schema)], schema=schema)
+            for body, out, h in zip(text_list(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                rows = [(h, place, out, label, row) for place, (label, row) in enumerate(taught(body))]
+                for at in range(0, len(rows), SCORED_AT_ONCE):
+                    columns = zip(*rows[at : at + SCORED_AT_ONCE])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     rows = (
         docs.join(F.broadcast(sample), doc_id, "left_semi")
-        .select(F.col(text).cast("string").alias("_t"), (F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(4)) == 0).alias("_h"))
-        .mapInArrow(describe, "held boolean, y int, x array<double>")
-        .orderBy(F.xxhash64("x"), "x", "y")
+        .select(F.col(text).cast("string").alias("_t"), (F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(4)) == 0).alias("_h"), F.xxhash64(doc_id).alias("_d"))
+        .mapInArrow(describe, "h long, place long, held boolean, y int, x array<double>")
+        .orderBy(F.xxhash64("h", "place"), "h", "place", "x", "y")
         .limit(SAMPLE_SPANS)
+        .select("held", "y", "x")
         .toPandas()
     )
     held, y = rows["held"].to_numpy(bool), rows["y"].to_numpy(int)
@@ -273,13 +275,18 @@ def find_spans(text: str, model: Boosted | None) -> tuple[list, list]:
     base = base_spans(text)
     if model is None:
         return base, base
-    spans = [s for s in proposals(text) if s not in set(base)]
-    if not spans:
-        return base, base
-    p = model.probability(np.array([features(text, s) for s in spans]))
+    known = set(base)
+    spans = [s for s in proposals(text) if s not in known]
+    scores: list[float] = []
+    for at in range(0, len(spans), SCORED_AT_ONCE):
+        scores += model.probability(np.array([features(text, s) for s in spans[at : at + SCORED_AT_ONCE]])).tolist()
+    covered = bytearray(len(text))  # a mark a character, so what overlaps is found in a span's own length
+    for _, start, end in base:
+        covered[start:end] = b"\x01" * (end - start)
     taken = list(base)
-    for score, (kind, start, end) in sorted(zip(p.tolist(), spans), key=lambda s: (-s[0], s[1])):
-        if score >= model.threshold and not any(start < e and s < end for _, s, e in taken):
+    for score, (kind, start, end) in sorted(zip(scores, spans), key=lambda s: (-s[0], s[1])):
+        if score >= model.threshold and covered.find(1, start, end) < 0:
+            covered[start:end] = b"\x01" * (end - start)
             taken.append((kind, start, end))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(taken, key=lambda s: (order[s[0]], s[1]))
