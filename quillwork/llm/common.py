@@ -19,6 +19,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(write_fresh(df, f"llm-{label}"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def bounded_sample(ids: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
     """At most ``rows`` distinct non-null keys, the same ones for any partitioning of the input."""
     distinct = ids.where(F.col(key).isNotNull()).select(key).distinct()

@@ -96,18 +96,26 @@ def _order(doc_id: str, epoch: Column, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, weights: dict[tuple, float] | None = None,
-    seed: int = SEED, doc_id: str = "doc_id", text: str = "text", levels: tuple[str, ...] = LEVELS, range_rows: int = RANGE_ROWS,
+    seed: int = SEED, doc_id: str = "doc_id", text: str = "text", levels: tuple[str | Column, ...] = LEVELS, range_rows: int = RANGE_ROWS,
+    epoch: str = "_epoch", tokens: str = "_tokens",
 ) -> DataFrame:
-    """The chosen rows of ``docs`` with ``_epoch`` and ``_tokens``, once per epoch that takes them.
+    """The chosen rows of ``docs`` with their ``epoch`` and ``tokens``, once per epoch that takes them.
+
+    The levels of the tree are names or expressions over ``docs``. Columns of ``docs`` that have the names of the two new columns are
+    replaced by these; other names cannot clash, as a row travels as one value.
 
     Tokens are runs without white space. A leaf's prefix ends with the document that reaches its
     budget, whole; rows of one doc_id are taken together. Null levels are a leaf of their own, null
     and empty texts have no tokens; a leaf without tokens is not taken. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    counted = docs.withColumn("_tokens", F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("bigint"))
-    narrow = stored(counted.select(F.col(doc_id).alias("_id"), *[F.col(c).cast("string").alias(f"_l{i}") for i, c in enumerate(levels)], "_tokens"), "mix-counts")
     names = [f"_l{i}" for i in range(len(levels))]
+    paths = [(F.col(c) if isinstance(c, str) else c).cast("string").alias(n) for n, c in zip(names, levels)]
+    counted = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_id"), *paths,
+        F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("_tokens"),
+    )
+    narrow = stored(counted.select("_id", *names, "_tokens"), "mix-counts")
     sums = narrow.groupBy(*names).agg(F.sum("_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(sums) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
@@ -153,22 +161,28 @@ def mix(
         budget.alias("b").join(cuts.alias("c"), same("b", "c"), "left")
         .select(*[F.col(f"b.{n}").alias(n) for n in names], "_full", "_cut")
     )
-    condition = F.lit(True)
-    for n, c in zip(names, levels):
-        condition = condition & F.col(f"d.{c}").cast("string").eqNullSafe(F.col(f"p.{n}"))
     whole = F.when(F.col("_full") > 0, F.sequence(F.lit(0), F.col("_full") - 1)).otherwise(F.array().cast("array<int>"))
-    part = F.when(_order(doc_id, F.col("_full"), seed) <= F.col("_cut"), F.array("_full")).otherwise(F.array().cast("array<int>"))
-    return (
-        counted.alias("d").join(F.broadcast(chosen).alias("p"), condition)
-        .withColumn("_epoch", F.explode(F.concat(whole, part)))
-        .select(*[F.col(f"d.{c}") for c in docs.columns], "_epoch", "_tokens")
+    part = F.when(_order("_id", F.col("_full"), seed) <= F.col("_cut"), F.array("_full")).otherwise(F.array().cast("array<int>"))
+    taken = counted.alias("d").join(F.broadcast(chosen).alias("p"), same("d", "p")).select(
+        "d._row", "d._tokens", F.explode(F.concat(whole, part)).alias("_epoch")
     )
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in (epoch, tokens)]
+    return taken.select(*kept, F.col("_epoch").alias(epoch), F.col("_tokens").alias(tokens))
+
+
+#: Target weights of the registered query: domains 4 to 1, inside each English twice as much as others, and
+#: in the first domain German three times; whatever is not listed has weight 1.
+WEIGHTS: dict[tuple, float] = {
+    ("domain0",): 4.0, ("domain1",): 3.0, ("domain2",): 2.0,
+    **{(f"domain{d}", "en"): 2.0 for d in range(4)},
+    ("domain0", "de"): 3.0,
+}
 
 
 @llm_query("op8_hierarchical_mix")
 def op8_hierarchical_mix(spark, sf):
-    """Half of all tokens, handed out evenly by domain, then language, then source; documents at most twice."""
+    """Half of all tokens, handed out by the weights of domain, then language, then source; documents at most twice."""
     docs = table(spark, sf, "documents").withColumn("domain", domain_of(F.col("source")))
-    return mix(docs).select(
+    return mix(docs, weights=WEIGHTS).select(
         "doc_id", "domain", "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens")
     )
