@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import jaccard, mixing, packing, private, toxic
-from quillwork.llm.common import stored
+from quillwork.llm.common import free_name, stored
+from quillwork.operators.positions import with_position
 from quillwork.sources.tables import table
 
 #: Tokens that the mix hands out, as a share of those left, and how often it may take a document.
@@ -28,15 +29,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 5-word shingles have a similarity of 0.8 or more: the smallest doc_id.
 
-    Of rows that share a doc_id one stays. Documents without words link with nothing and stay, as do
-    rows without doc_id.
+    Of rows that agree in doc_id and text one stays. Rows that share a doc_id with other texts are documents of
+    their own, of which the smaller text counts as the smaller. Documents without words link with
+    nothing and stay, as do all rows without doc_id.
     """
-    groups = stored(jaccard.jaccard_components(docs, width=5, percent=80).select("doc_id", "component_id"), "groups")
-    twice = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    gone = groups.where("doc_id <> component_id").select("doc_id").unionByName(twice).distinct()
-    once = groups.where("doc_id = component_id").join(twice, "doc_id", "left_semi").select("doc_id").distinct()
-    single = docs.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone, "doc_id", "left_anti").unionByName(single).select(*docs.columns)
+    shared = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    shared = stored(shared, "shared-ids")
+    if shared.isEmpty():
+        groups = jaccard.jaccard_components(docs, width=5, percent=80)
+        gone = groups.where("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # numbers in the order of doc_id and text take the place of ids that are not unique
+    row, key, text = (free_name(docs, n) for n in ("row", "key", "text_hash"))
+    whole = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    packed = stored(whole.select("doc_id", "text", F.xxhash64("text").alias(text), F.struct(*[F.col(c) for c in docs.columns]).alias(row)), "documents")
+    numbered = with_position(packed.select("doc_id", "text"), ["doc_id", "text"], key)
+    keyed = stored(packed.join(numbered, (packed["doc_id"] == numbered["doc_id"]) & packed["text"].eqNullSafe(numbered["text"])).select(packed["text"], row, key), "documents")
+    groups = jaccard.jaccard_components(keyed, width=5, percent=80, doc_id=key)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    left = keyed.join(gone, key, "left_anti").select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return left.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +61,9 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents taken by even weights of domain, language and source; a row per epoch that takes one."""
-    named = docs.withColumn("_domain", mixing.domain_of(F.col("source")))
-    mixed = mixing.mix(named, MIX_SHARE, MIX_EPOCHS, levels=("_domain", "lang", "source"))
+    epoch, tokens = free_name(docs, "epoch"), free_name(docs, "tokens")
+    levels = (mixing.domain_of(F.col("source")), "lang", "source")
+    mixed = mixing.mix(docs, MIX_SHARE, MIX_EPOCHS, levels=levels, epoch=epoch, tokens=tokens)
     return mixed.select(*docs.columns)
 
 
