@@ -39,3 +39,26 @@ def test_repeated_rows_and_empty_tables(spark, sf):
     frame = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, frame, sf).count() == 0
+
+
+def test_no_text_of_a_repeated_id_is_lost(spark, sf):
+    rows = [(1, "the first text of one"), (1, "another text under the same id"), (2, "c"), (3, "the first text of one"), (2, "c"), (None, "c"), (None, "c"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, row int")
+    left = P.drop_near_copies(spark, docs, sf)
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    want = [(1, "the first text of one"), (1, "another text under the same id"), (2, "c"), (None, "c"), (None, "c"), (4, None), (4, "")]
+    assert left.columns == docs.columns and got == sorted(want, key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    extra = ["_full", "_epoch", "_domain", "_tokens", "_u", "_id", "_row", "component_id", "n", "score", "epoch", "_l0", "h", "g"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    wide = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in extra])
+    for name, stage in P.STAGES[:-1]:
+        plain = sorted(map(tuple, stage(spark, docs, sf).collect()))
+        out = stage(spark, wide, sf)
+        rows = out.collect()
+        assert out.columns == wide.columns, name
+        assert sorted(tuple(r)[: len(docs.columns)] for r in rows) == plain, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in extra), name
+    assert P.STAGES[-1][1](spark, wide, sf).count() == P.STAGES[-1][1](spark, docs, sf).count()
