@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.operators.lookups import lookup_join
-
 # Record kinds of a page file, with their tags.
 KINDS = {"pages": 0, "outlines": 1, "paragraphs": 2}
 
@@ -31,8 +29,3 @@ def nth_record(df: DataFrame, key: str, n: int) -> DataFrame:
     """
     first = df.select(key).orderBy(key).limit(n + 1)
     return df.join(F.broadcast(first.agg(F.max(key).alias(key))), key)
-
-
-def lookup_by_name(names: DataFrame, records: DataFrame, name: str) -> DataFrame:
-    """Every asked name with its record; the record columns are null when there is none."""
-    return lookup_join(names, records, [name], spread=[name], how="left")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from quillwork.operators import records
 from quillwork.registry import query
-from quillwork.sources import tables, writers
+from quillwork.sources import nameindex, tables, writers
 from quillwork.sources.tables import table
 from quillwork.streaming import counts
 
@@ -178,7 +178,7 @@ def lookup_by_name(spark, sf):
     )
     # addresses without their query part: those that had one are not page names
     asked = pages.select(F.substring_index("page_name", "?", 1).alias("page_name")).distinct()
-    return records.lookup_by_name(asked, pages, "page_name")
+    return nameindex.lookup_by_name(asked, pages, "page_name")
 
 
 @query(
@@ -275,3 +275,21 @@ def ingest_progress(spark, sf):
     progress = counts.chunk_progress(own, chunks, "chunk", "content")
     timed = (F.col("seconds") > 0) & (F.abs(F.col("seconds_a_row") * F.col("rows") - F.col("seconds")) < 1e-6)
     return progress.select("chunk", "rows", "chars", timed.alias("timed"))
+
+
+@query(
+    "name_index_lookup",
+    """WITH names AS (SELECT CASE WHEN page_id % 4 = 0 THEN url ELSE url || '#missing' END AS page_name, page_id AS asked_by
+                      FROM pages WHERE page_id % 2 = 0)
+       SELECT n.page_name, asked_by, p.page_id, length(p.html) AS size
+       FROM names n LEFT JOIN pages p ON p.url = n.page_name""",
+)
+def name_index_lookup(spark, sf):
+    """Half of the pages ask for a page by name, through an index of names; half of these names do not exist."""
+    pages = table(spark, sf, "pages")
+    index = nameindex.build_name_index(
+        pages.select(F.col("url").alias("page_name"), "page_id", F.length("html").cast("bigint").alias("size")), "page_name"
+    )
+    name = F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(F.concat("url", F.lit("#missing")))
+    asked = pages.where("page_id % 2 = 0").select(name.alias("page_name"), F.col("page_id").alias("asked_by"))
+    return index.lookup(asked)
