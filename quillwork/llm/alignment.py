@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over the same bytes, with an associative fragment for very long documents.
 
 Both tokenizers end a token before every single blank between two visible characters, so a text cut there
-is encoded piece by piece with the same ids. A word's ids, groups and links are kept by each worker and worked out once
-while they are remembered. A document over ``LONG_BYTES`` is cut into pieces at such blanks, and a piece's tokens
+is encoded piece by piece with the same ids. The different words of many texts are therefore encoded
+and aligned once, as arrays. A document over ``LONG_BYTES`` is cut into pieces at such blanks, and a piece's tokens
 into ranges of bytes, wherever those end. Each range becomes a :class:`Fragment`; fragments compose
 associatively, so a document's are composed in a tree of Spark tasks.
 """
@@ -10,11 +10,11 @@ associatively, so a document's are composed in a tree of Spark tasks.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm.common import stored, text_list
-from quillwork.llm.encoding import Kept
+from quillwork.llm.encoding import ByteEncoder, byte_names
 from quillwork.llm.hashing import by_bytes
 from quillwork.llm.registry import llm_query
 from quillwork.sources.tables import table
@@ -33,8 +33,10 @@ LONG_BYTES = 1 << 18
 RANGE_BYTES = 1 << 16
 #: Fragments that one task composes into one.
 FAN_IN = 16
-#: Words whose alignment a worker keeps, some 400 bytes each.
-KEPT_WORDS = 400_000
+#: Different words that a task counts before it encodes them.
+WORDS_AT_ONCE = 1_000_000
+#: Bytes of texts whose different words a task aligns together.
+SLICE_BYTES = 1 << 23
 #: Id pairs whose counts are sent to every worker, 16 bytes each; the rest are joined.
 SENT_PAIRS = 4_000_000
 
@@ -47,10 +49,7 @@ def token_bytes_a(path: str) -> list[bytes]:
     """Bytes of every id of a byte-level vocabulary."""
     from tokenizers import Tokenizer
 
-    # the printable stand-ins of byte-level vocabularies: bytes without one of their own follow from 256 on
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    value = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    value = byte_names()
     names = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
     out = [b""] * (max(names.values()) + 1)
     for name, i in names.items():
@@ -155,116 +154,143 @@ class Fragment:
         return Fragment(middle.prefix_a, middle.prefix_b, True, open_a, open_b, joints)
 
 
+@dataclass
+class Words:
+    """Distinct words and, as arrays in the same order, their tokens of each side, groups and links.
+
+    The links of word i are ``links[link_ends[i - 1] : link_ends[i]]``. A word that one side does not spell
+    byte for byte has none of them.
+    """
+
+    place: dict[str, int]
+    unspelled: set[int]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    links: np.ndarray
+    link_ends: np.ndarray
+    text: list[str]
+
+    @property
+    def n_links(self) -> np.ndarray:
+        return np.diff(self.link_ends, prepend=0)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of a number of each link, by word."""
+        total = np.concatenate([[0], np.cumsum(values.astype(np.int64))])[np.concatenate([[0], self.link_ends])]
+        return np.diff(total)
+
+
 class Aligner:
-    """Encodes with both tokenizers and remembers the alignment of single words."""
+    """Encodes with both tokenizers and aligns the tokens of many words at once."""
 
-    def __init__(self, a_path: str, b_path: str, kept: int = KEPT_WORDS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a = ByteEncoder(a_path, marks=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes, self.b_bytes = token_bytes_a(a_path), token_bytes_b(b_path)
         self.a_size = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
-        self.kept = Kept(kept)
-
-    def _encode(self, texts: list[str]) -> tuple[list, list, list[bool]]:
-        """Ids of a blank and each text, and whether both sides spell it."""
-        a = [c.ids for c in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        fine = []
-        for text, ids, pieces in zip(texts, a, b):
-            want = f" {text}".encode()
-            fine.append(b"".join([self.b_bytes[i] for i in pieces]) == want and b"".join([self.a_bytes[i] for i in ids]) == want)
-        return a, b, fine
+        # what stands behind an id: another of its side, the other side, the next group
+        names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.comma, self.bar, self.semicolon = (np.array([n + sign for n in names], dtype=object) for sign in ",|;")
 
     def tokens(self, texts: list[str]) -> tuple[Tokens, list[bool]]:
-        """Tokens of texts that are cut at safe blanks, in a row; a text that is not spelled has no tokens."""
-        a, b, fine = self._encode(texts)
-        # ids of nothing at all are an empty list of floats for numpy
-        flat = lambda ids: np.array([i for c, ok in zip(ids, fine) if ok for i in c], dtype=np.int64)
-        a, b = flat(a), flat(b)
+        """Tokens of a blank and each text, in a row; a text that one side does not spell has none."""
+        a = [np.frombuffer(self.a.encode(f" {t}"), dtype="<u4") for t in texts]
+        b = self.b.encode(texts, num_threads=1)
+        fine = [True] * len(texts)
+        want = "".join([f" {t}" for t in texts]).encode()
+        if b"".join([self.b_bytes[i] for ids in b for i in ids]) != want or b"".join([self.a_bytes[i] for ids in a for i in ids.tolist()]) != want:
+            for k, text in enumerate(texts):
+                spelled = f" {text}".encode()
+                fine[k] = b"".join([self.b_bytes[i] for i in b[k]]) == spelled and b"".join([self.a_bytes[i] for i in a[k].tolist()]) == spelled
+            a, b = ([ids for ids, ok in zip(side, fine) if ok] for side in (a, b))
+        a = np.concatenate(a).astype(np.int64) if a else np.empty(0, np.int64)
+        b = np.fromiter(chain.from_iterable(b), dtype=np.int64)
         return Tokens(a, np.cumsum(self.a_size[a]), b, np.cumsum(self.b_size[b])), fine
 
-    def learn(self, words: list[str]) -> None:
-        """Remember (ids of a, of b, groups, their text, links as bytes) of each word; None if it is not spelled."""
+    def _texts(self, tokens: Tokens, shared: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Groups of each word as text: both sides' ids in turn, with the sign that follows each."""
+        a_group, b_group = np.searchsorted(shared, tokens.a_ends), np.searchsorted(shared, tokens.b_ends)
+        a_last, b_last = np.isin(tokens.a_ends, shared, assume_unique=True), np.isin(tokens.b_ends, shared, assume_unique=True)
+        a_count, b_count = np.cumsum(np.bincount(a_group, minlength=len(shared))), np.cumsum(np.bincount(b_group, minlength=len(shared)))
+        parts = np.empty(len(tokens.a) + len(tokens.b), dtype=object)
+        before = np.concatenate([[0], b_count])  # the other side's ids in the groups before
+        parts[np.arange(len(tokens.a)) + before[a_group]] = np.where(a_last, self.bar[tokens.a], self.comma[tokens.a])
+        parts[np.arange(len(tokens.b)) + a_count[b_group]] = np.where(b_last, self.semicolon[tokens.b], self.comma[tokens.b])
+        cuts = (np.searchsorted(tokens.a_ends, ends, "right") + np.searchsorted(tokens.b_ends, ends, "right")).tolist()
+        flat, begin, out = parts.tolist(), 0, []
+        for end in cuts:
+            out.append("".join(flat[begin:end]))
+            begin = end
+        return out
+
+    def words(self, words: list[str], texts: bool = True) -> Words:
+        """What distinct words align to; with ``texts`` also their groups as text, each with a semicolon behind it."""
         plain, odd = [], []
         for w in words:
-            (odd if _ODD.search(w) or not w else plain).append(w)
-        rows = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        tokens, fine = self.tokens([" ".join(r) for r in rows] + odd)
-        taught = []
-        for row, ok in zip(rows + [[w] for w in odd], fine):
-            if ok:
-                taught += row
-            elif len(row) == 1:
-                self.kept.young[row[0]] = None
-            else:
-                for word in row:
-                    self.learn([word])
-        if not taught:
-            return
-        sizes = np.array([len(w.encode()) + 1 for w in taught], dtype=np.int64)
-        ends = np.cumsum(sizes)
+            (odd if _ODD.search(w) else plain).append(w)
+        rows = [plain[i : i + 64] for i in range(0, len(plain), 64)] + [[w] for w in odd]
+        tokens, fine = self.tokens([" ".join(r) for r in rows])
+        known = [w for row, ok in zip(rows, fine) if ok for w in row]
+        # a row of plain words is spelled as a whole unless one of them is not
+        doubtful = [w for row, ok in zip(rows, fine) if not ok and len(row) > 1 for w in row]
+        unspelled = [row[0] for row, ok in zip(rows, fine) if not ok and len(row) == 1]
+        for word in doubtful:
+            (known if self.tokens([word])[1][0] else unspelled).append(word)
+        if doubtful:
+            tokens, _ = self.tokens(known)
+        ends = np.cumsum(np.array([len(w.encode()) + 1 for w in known], dtype=np.int64))
         shared, points = tokens.shared(), tokens.points()
-        links = tokens.links(points)
-        a_cuts = [0, *np.searchsorted(tokens.a_ends, shared, "right").tolist()]
-        b_cuts = [0, *np.searchsorted(tokens.b_ends, shared, "right").tolist()]
-        groups = rendered(list(map(str, tokens.a.tolist())), a_cuts, list(map(str, tokens.b.tolist())), b_cuts)
-        at = [np.concatenate([[0], np.searchsorted(x, ends, "right")]) for x in (tokens.a_ends, tokens.b_ends, shared, points)]
-        n_a, n_b = np.diff(at[0]).tolist(), np.diff(at[1]).tolist()
-        g, p = at[2].tolist(), at[3].tolist()
-        for i, word in enumerate(taught):
-            own = groups[g[i] : g[i + 1]]
-            self.kept.young[word] = (n_a[i], n_b[i], len(own), ";".join(own), links[p[i] : p[i + 1]].tobytes())
-
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text, all of them known afterwards."""
-        cut = [_CUT.split(t) if t else [] for t in texts]
-        self.kept.turn()
-        missing = self.kept.missing([w for words in cut for w in words])
-        for start in range(0, len(missing), 20_000):
-            self.learn(missing[start : start + 20_000])
-        return cut
+        at = [np.searchsorted(x, ends, "right") for x in (tokens.a_ends, tokens.b_ends, shared, points)]
+        none = np.zeros(len(unspelled), dtype=np.int64)
+        n_a, n_b, n_groups = (np.concatenate([np.diff(x, prepend=0), none]) for x in at[:3])
+        place = {w: i for i, w in enumerate(known + unspelled)}
+        return Words(
+            place, set(range(len(known), len(place))), n_a, n_b, n_groups, tokens.links(points),
+            np.concatenate([at[3], none + len(points)]), self._texts(tokens, shared, ends) + [""] * len(unspelled) if texts else [],
+        )
+
+
+def words_of(texts: list[str]) -> list[list[str]]:
+    return [_CUT.split(t) if t else [] for t in texts]
 
 
 def count_links(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``pair, n``: how many links of all texts hold each id pair. Counted by task before the shuffle."""
+    """``pair, n``: how many links of all texts hold each id pair.
+
+    Each task counts its words first and encodes every different word once, at most ``WORDS_AT_ONCE`` of them together.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a_path, b_path)
         seen: Counter[str] = Counter()
-        pairs, numbers = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            raw = [(aligner.kept.young[w][4], n) for w, n in seen.items()]
-            keys = np.frombuffer(b"".join([r for r, _ in raw]), dtype=np.int64)
-            each = np.repeat([n for _, n in raw], [len(r) // 8 for r, _ in raw]).astype(np.int64)
-            keys, place = np.unique(np.concatenate([pairs, keys]), return_inverse=True)
-            total = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(total, place, np.concatenate([numbers, each]))
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            words = aligner.words(list(seen), texts=False)
+            each = np.array([seen[w] for w in words.place], dtype=np.int64)
+            pairs, place = np.unique(words.links, return_inverse=True)
+            total = np.zeros(len(pairs), dtype=np.int64)
+            np.add.at(total, place, np.repeat(each, words.n_links))
+            for start in range(0, len(pairs), 100_000):
+                part = slice(start, start + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[part]), pa.array(total[part])], names=["pair", "n"])
             seen.clear()
-            return keys, total
 
         for batch in by_bytes(batches, 0, 1 << 22):
-            for words in aligner.words(text_list(batch.column(0))):
-                # a text that one side does not spell has no tokens at all
-                if words and None not in map(aligner.kept.young.get, words):
+            for text, words in zip(texts_ := text_list(batch.column(0)), words_of(texts_)):
+                # a text with this sign is spelled otherwise by the pieces, so it has no tokens at all
+                if "▁" not in text:
                     seen.update(words)
-            # words must still be remembered when they are counted
-            pairs, numbers = added()
-            if len(pairs) > 1 << 21:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(numbers)], names=["pair", "n"])
-                pairs, numbers = np.empty(0, np.int64), np.empty(0, np.int64)
-        for start in range(0, len(pairs), 100_000):
-            part = slice(start, start + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[part]), pa.array(numbers[part])], names=["pair", "n"])
+            if len(seen) > WORDS_AT_ONCE:
+                yield from counted()
+        if seen:
+            yield from counted()
 
-    counted = texts.select(F.col(texts.columns[0]).alias("text")).mapInArrow(count, "pair long, n long")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
+    counted_ = texts.select(F.col(texts.columns[0]).alias("text")).mapInArrow(count, "pair long, n long")
+    return counted_.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 _ROW = "uid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -305,31 +331,23 @@ def _whole_documents(docs: DataFrame, a_path: str, b_path: str, counts) -> DataF
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, known = Aligner(a_path, b_path), counts.value
-        for batch in by_bytes(batches, 2, 1 << 21):
-            cut = aligner.words(text_list(batch.column(2)))
-            place = {w: i for i, w in enumerate(dict.fromkeys(w for words in cut for w in words))}
-            facts = [aligner.kept.young[w] for w in place]
-            unspelled = {i for i, f in enumerate(facts) if f is None}
-            facts = [f or (0, 0, 0, "", b"") for f in facts]
-            links = np.frombuffer(b"".join([f[4] for f in facts]), dtype=np.int64)
-            n_links = np.array([len(f[4]) // 8 for f in facts], dtype=np.int64)
-            ends = np.cumsum(n_links)
-            count, best, here = known.look_up(links)
-            within = lambda x: np.diff(np.concatenate([[0], np.cumsum(x.astype(np.int64))])[np.concatenate([[0], ends])])
-            sums = np.array([[f[0] for f in facts], [f[1] for f in facts], [f[2] for f in facts], n_links, within(best), within(count)], dtype=np.int64)
-            partial = not here.all()
-            text = [f[3] for f in facts]
+        for batch in by_bytes(batches, 2, SLICE_BYTES):
+            cut = words_of(text_list(batch.column(2)))
+            words = aligner.words(list(dict.fromkeys(chain.from_iterable(cut))))
+            count, best, here = known.look_up(words.links)
+            sums = np.array([words.n_a, words.n_b, words.n_groups, words.n_links, words.sums(best), words.sums(count)])
+            partial, ends, text = not here.all(), [0, *words.link_ends.tolist()], words.text
             rows = []
-            for uid, key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cut):
-                at = [place[w] for w in words]
-                if not at or (unspelled and not unspelled.isdisjoint(at)):
+            for uid, key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cut):
+                at = list(map(words.place.__getitem__, own))
+                if not at or (words.unspelled and not words.unspelled.isdisjoint(at)):
                     rows.append((uid, key, 0, 0, 0, 0, 0, 0, "", []))
                     continue
                 rest = []
                 if partial:
-                    own = [links[ends[i] - n_links[i] : ends[i]][~here[ends[i] - n_links[i] : ends[i]]] for i in at]
-                    rest = _rest_of(np.concatenate(own))
-                digest = hashlib.sha256(";".join([text[i] for i in at]).encode()).hexdigest()
+                    spans = [slice(ends[i], ends[i + 1]) for i in at]
+                    rest = _rest_of(np.concatenate([words.links[x][~here[x]] for x in spans]))
+                digest = hashlib.sha256("".join([text[i] for i in at])[:-1].encode()).hexdigest()
                 rows.append((uid, key, *sums[:, at].sum(axis=1).tolist(), digest, rest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
