@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -20,8 +22,10 @@ from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillwork.operators.features import assemble
+from quillwork.operators.lookups import lookup_join
 from quillwork.operators.metrics import accuracy, weighted_f1
 
 SEED = 42
@@ -105,6 +109,56 @@ def category_classifier(category: str, numbers: list[str], label: str) -> Pipeli
     )
 
 
+def _lloyd_sums(centres: np.ndarray, key: str | None, features: str):
+    """For a stream of batches the squared distance to and the place of the nearest centre; summed by place, or by row."""
+
+    def nearest(batches):
+        n, sums, cost = np.zeros(len(centres)), np.zeros(centres.shape), np.zeros(len(centres))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack(batch.column(batch.schema.get_field_index(features)).to_numpy(zero_copy_only=False)).astype(float)
+            gaps = np.stack([((rows - c) ** 2).sum(axis=1) for c in centres], axis=1)
+            place = gaps.argmin(axis=1)
+            least = gaps[np.arange(len(rows)), place]
+            if key is not None:
+                columns = [batch.column(batch.schema.get_field_index(key)), pa.array(place, pa.int32()), pa.array(least)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "place", "distance2"])
+                continue
+            np.add.at(n, place, 1)
+            np.add.at(sums, place, rows)
+            np.add.at(cost, place, least)
+        if key is None:
+            columns = [pa.array(range(len(centres)), pa.int32()), pa.array(n), pa.array(list(sums), pa.list_(pa.float64())), pa.array(cost)]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "n", "sums", "cost"])
+
+    return nearest
+
+
+def lloyd(points: DataFrame, features: str, centres: list[list[float]], steps: int) -> np.ndarray:
+    """Centres after ``steps`` rounds from the given ones. A centre without points stays; ties go to the smaller place.
+
+    Each task sums its points by centre, and the sums are added by Spark: the driver sees one number a centre and
+    dimension, whatever the points. Rows without features take no part.
+    """
+    now = np.array(centres, dtype=float)
+    rows = points.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias(features))
+    with kept(rows) as rows:
+        for _ in range(steps):
+            parts = rows.mapInArrow(_lloyd_sums(now, None, features), "place int, n double, sums array<double>, cost double")
+            flat = parts.where("n > 0").select("place", "n", F.posexplode("sums").alias("slot", "v"))
+            for r in flat.groupBy("place", "slot").agg((F.sum("v") / F.sum("n")).alias("mean")).collect():
+                now[r["place"], r["slot"]] = r["mean"]
+    return now
+
+
+def nearest_centre(points: DataFrame, key: str, features: str, centres: np.ndarray) -> DataFrame:
+    """``key, place, distance2`` of every row with features."""
+    rows = points.where(F.col(features).isNotNull()).select(key, F.col(features).cast("array<double>").alias(features))
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(_lloyd_sums(np.asarray(centres, dtype=float), key, features), f"{key} {kind}, place int, distance2 double")
+
+
 def kmeans(points: DataFrame, k: int, features: str = "features", seed: int = 1):
     return KMeans(k=k, seed=seed, featuresCol=features).fit(points)
 
@@ -143,3 +197,63 @@ def recommend(model, users: DataFrame, k: int, user: str, item: str) -> DataFram
     lists = model.recommendForUserSubset(users, k)
     picks = lists.select(user, F.posexplode("recommendations").alias("position", "pick"))
     return picks.select(user, (F.col("position") + 1).alias("position"), f"pick.{item}", F.col("pick.rating").alias("score"))
+
+
+def fold_in(model, ratings: DataFrame, user: str, item: str, rating: str, regularisation: float = 0.01) -> DataFrame:
+    """``user, factors``: least-squares factors of users the model was not fitted with, from their ratings.
+
+    Solves (sum of v v' + regularisation * n * 1) u = sum of rating * v over the n rated items, whose factors v stay as
+    they are: what the fit itself does for a user in its last step. Ratings of unknown items say nothing; a
+    user without others has no row.
+    """
+    items = model.itemFactors.select(F.col("id").alias(item), F.col("features").cast("array<double>").alias("_v"))
+    rated = ratings.where(F.col(user).isNotNull() & F.col(rating).isNotNull()).select(user, item, F.col(rating).cast("double").alias("_r"))
+    met = lookup_join(rated, items, [item], spread=[user], how="inner")
+    rank = model.rank
+    v = [F.col("_v")[i] for i in range(rank)]
+    sums = met.groupBy(user).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.array(*[F.sum(v[i] * v[j]) for i in range(rank) for j in range(rank)]).alias("_a"),
+        F.array(*[F.sum(F.col("_r") * v[i]) for i in range(rank)]).alias("_b"),
+    )
+
+    def solve(batches):
+        for batch in batches:
+            users, n, a, b = batch.columns
+            left = np.array(a.to_pylist(), dtype=float).reshape(-1, rank, rank)
+            left += regularisation * n.to_numpy(zero_copy_only=False)[:, None, None] * np.eye(rank)
+            solved = np.linalg.solve(left, np.array(b.to_pylist(), dtype=float).reshape(-1, rank, 1))[:, :, 0]
+            yield pa.RecordBatch.from_arrays([users, pa.array(list(solved), pa.list_(pa.float64()))], names=[user, "factors"])
+
+    return sums.mapInArrow(solve, f"{user} {ratings.schema[user].dataType.simpleString()}, factors array<double>")
+
+
+def recommend_folded(model, factors: DataFrame, k: int, user: str, item: str, most_users: int = 1000) -> DataFrame:
+    """``user, position, item, score``: the ``k`` best items of users with folded-in factors.
+
+    The users asked about, ``most_users`` at a time, go to the items: each task gives its ``k`` best for every user.
+    """
+    session = factors.sparkSession
+    asked = factors.orderBy(user).toArrow()
+    id_type, kind = asked.schema.field(user).type, factors.schema[user].dataType.simpleString()
+    out = None
+    for start in range(0, asked.num_rows, most_users):
+        part = asked.slice(start, most_users)
+        ids, vectors = part.column(user).to_pylist(), np.array(part.column("factors").to_pylist())
+
+        def best(batches, ids=ids, vectors=vectors):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                scores = vectors @ np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float).T
+                items = batch.column(0).to_numpy(zero_copy_only=False)
+                rows = [(u, items[j].item(), float(s[j])) for u, s in zip(ids, scores) for j in np.lexsort((items, -s))[:k]]
+                users, found, values = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(users, id_type), pa.array(found, pa.int32()), pa.array(values)], names=[user, item, "score"])
+
+        met = model.itemFactors.mapInArrow(best, f"{user} {kind}, {item} int, score double")
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        return session.createDataFrame([], f"{user} {kind}, position int, {item} int, score double")
+    ranked = out.withColumn("position", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("score"), item)))
+    return ranked.where(F.col("position") <= k).select(user, "position", item, "score")

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import (
-    CountVectorizer,
-    HashingTF,
-    NGram,
-    RegexTokenizer,
-    StopWordsRemover,
-    Tokenizer,
-)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, StopWordsRemover, Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions.stopwords import STOP_WORDS
 from quillwork.operators.lookups import lookup_join
+from quillwork.operators.positions import with_position
 from quillwork.sources.storage import durable
 
 
@@ -71,9 +64,31 @@ def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
     return joined.select(key, "term", "tf", "df", (F.col("tf") * idf).alias("tfidf"))
 
 
-def count_vectorize(df: DataFrame, key: str, tokens: str, vocabulary: int, min_df: float) -> DataFrame:
-    """``key, term, n`` for the ``vocabulary`` most frequent terms found in ``min_df`` documents."""
-    model = CountVectorizer(inputCol=tokens, outputCol="_v", vocabSize=vocabulary, minDF=min_df).fit(df)
-    terms = F.array(*[F.lit(t) for t in model.vocabulary])
-    slots = model.transform(df).select(key, F.posexplode(vector_to_array("_v")).alias("slot", "n"))
-    return slots.where("n > 0").select(key, F.get(terms, F.col("slot")).alias("term"), F.col("n").cast("bigint").alias("n"))
+def vocabulary(df: DataFrame, tokens: str, size: int, min_df: float = 1.0) -> DataFrame:
+    """``term, slot, n, df``: the ``size`` most frequent terms found in ``min_df`` rows or more, as a table.
+
+    ``n`` counts occurrences, ``df`` rows; a ``min_df`` under 1 is a share of all rows. Slots go by falling ``n``, ties by the
+    term. Terms are counted by one shuffle and numbered by a range sort, so no task and not the
+    driver holds the vocabulary, however large.
+    """
+    both = F.concat(
+        F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))),
+    )
+    marks = df.select(F.explode_outer(both).alias("m")).select("m.*").where("term IS NOT NULL")
+    counts = marks.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    least = F.lit(min_df) if min_df >= 1 else df.agg(F.count(F.lit(1)) * min_df).scalar()
+    ranked = with_position(counts.where(F.col("df") >= least).withColumn("_fall", -F.col("n")), ["_fall", "term"], "slot")
+    return ranked.where(F.col("slot") < size).select("term", "slot", "n", "df")
+
+
+def count_terms(df: DataFrame, key: str, tokens: str, terms: DataFrame, binary: bool = False) -> DataFrame:
+    """``key, term, slot, n``: the non-empty slots of each row; with ``binary`` every n is 1."""
+    words = df.select(key, F.explode_outer(F.array_distinct(tokens) if binary else F.col(tokens)).alias("term")).where("term IS NOT NULL")
+    met = lookup_join(words, terms.select("term", "slot"), ["term"], spread=[key], how="inner")
+    return met.groupBy(key, "term", "slot").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_vectorize(df: DataFrame, key: str, tokens: str, vocabulary_size: int, min_df: float, binary: bool = False) -> DataFrame:
+    """``key, term, slot, n`` for the most frequent terms, by :func:`vocabulary` and :func:`count_terms`."""
+    return count_terms(df, key, tokens, durable(vocabulary(df, tokens, vocabulary_size, min_df)), binary)

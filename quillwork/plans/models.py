@@ -295,3 +295,43 @@ def ml_recommend_topk(spark, sf):
         model = L.als_model(known, "customer", "part", "rating")
         first = known.agg(F.min("customer").alias("customer"))
         return L.recommend(model, spark.createDataFrame(first.collect(), first.schema), 3, "customer", "part")
+
+
+@query("ml_fold_in_topk")
+def ml_fold_in_topk(spark, sf):
+    """Ratings of a customer the model has not seen come in, three parts go out: for every 50th customer."""
+    ratings = _ratings(spark, sf)
+    new = F.col("customer") % 50 == 0
+    with L.kept(ratings) as known:
+        model = L.als_model(known.where(~new), "customer", "part", "rating")
+        factors = L.fold_in(model, known.where(new), "customer", "part", "rating")
+        return L.recommend_folded(model, factors, 3, "customer", "part")
+
+
+def _lloyd_sql(clusters: int, steps: int) -> str:
+    """Lloyd's rounds as one CTE after the other."""
+    rounds = "".join(
+        f""",
+        g{i} AS (SELECT vec_id, place, sum((e.v - c.v) * (e.v - c.v)) AS d FROM e JOIN c{i} c USING (slot) GROUP BY vec_id, place),
+        a{i} AS (SELECT vec_id, place, d FROM g{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, place) = 1),
+        m{i} AS (SELECT place, slot, avg(v) AS v FROM a{i} JOIN e USING (vec_id) GROUP BY place, slot),
+        c{i + 1} AS (SELECT place, slot, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (place, slot))"""
+        for i in range(steps + 1)
+    )
+    return f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS slot FROM embeddings),
+        s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT {clusters})),
+        c0 AS (SELECT place, slot, v FROM s JOIN e USING (vec_id)){rounds}
+        SELECT CAST(place AS INTEGER) AS place, count(*) AS n, round(sum(d), 4) AS cost, min(vec_id) AS first_vec, sum(vec_id)::BIGINT AS vec_sum
+        FROM a{steps} GROUP BY place"""
+
+
+@query("ml_kmeans_steps", _lloyd_sql(6, 4))
+def ml_kmeans_steps(spark, sf, clusters=6, steps=4):
+    """Sizes, cost and members of clusters after four rounds from the first six vectors."""
+    points = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    start = [r["embedding"] for r in points.orderBy("vec_id").limit(clusters).collect()]
+    placed = L.nearest_centre(points, "vec_id", "embedding", L.lloyd(points, "embedding", start, steps))
+    return placed.groupBy("place").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("distance2"), 4).alias("cost"),
+        F.min("vec_id").alias("first_vec"), F.sum("vec_id").alias("vec_sum"),
+    )

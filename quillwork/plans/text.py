@@ -106,4 +106,16 @@ def text_tfidf(spark, sf):
         SELECT doc_id, term, count(*) AS n FROM t WHERE term IN (SELECT term FROM v) GROUP BY 1, 2""",
 )
 def text_count_vectorize(spark, sf):
-    return T.count_vectorize(_tokens(spark, sf), "doc_id", "tokens", vocabulary=20, min_df=2.0)
+    return T.count_vectorize(_tokens(spark, sf), "doc_id", "tokens", 20, min_df=2.0).select("doc_id", "term", "n")
+
+
+@query(
+    "text_vocabulary_wide",
+    f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),
+             v AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS slot FROM t GROUP BY term
+                   HAVING count(DISTINCT doc_id) >= (SELECT count(*) * 0.0015 FROM documents))
+        SELECT DISTINCT doc_id, term, slot, 1::BIGINT AS n FROM t JOIN v USING (term) WHERE slot < 100000""",
+)
+def text_vocabulary_wide(spark, sf):
+    """Which of the 100,000 most frequent terms, found in 0.15 % of all documents or more, each document has."""
+    return T.count_vectorize(_tokens(spark, sf), "doc_id", "tokens", 100_000, min_df=0.0015, binary=True)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.linalg import Vectors
@@ -15,7 +16,7 @@ from quillwork.registry import QUERIES
 ROWS_ONLY = [
     "feat_vector_index", "text_hashing_tf", "ml_logistic_regression", "ml_score_new_rows", "ml_tree", "ml_forest",
     "ml_gbt", "ml_model_compare", "ml_feature_importance", "ml_stage_chain", "ml_kmeans",
-    "ml_kmeans_sizes", "ml_kmeans_sweep", "ml_als", "ml_recommend_topk",
+    "ml_kmeans_sizes", "ml_kmeans_sweep", "ml_als", "ml_recommend_topk", "ml_fold_in_topk",
 ]
 
 
@@ -161,3 +162,54 @@ def test_bayes_model_has_no_largest_vocabulary(spark):
     assert model.terms.count() == 300_001
     terms = {r.term: [w["class"] for w in r.weights] for r in model.terms.where("term IN ('rare', 't299999')").collect()}
     assert terms == {"rare": ["b"], "t299999": ["a"]}
+
+
+def test_fold_in_solves_least_squares(spark):
+    rng = random.Random(3)
+    rows = [(u, i, rng.choice([1.0, 2.0, 5.0])) for u in range(40) for i in range(25) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "u int, i int, r double")
+    model = learning.als_model(df, "u", "i", "r")
+    items = {r.id: np.array(r.features, dtype=float) for r in model.itemFactors.collect()}
+    # users of the fit are solved in its last step, so folding them in gives them again
+    users = {r.id: np.array(r.features) for r in model.userFactors.collect()}
+    got = {r.u: np.array(r.factors) for r in learning.fold_in(model, df, "u", "i", "r").collect()}
+    assert set(got) == set(users) and all(np.allclose(got[u], users[u], atol=2e-3) for u in users)
+    new = [(900, 3, 5.0), (900, 7, 1.0), (900, 9, 4.0), (901, 999, 3.0), (902, 4, None), (None, 4, 2.0)]
+    factors = learning.fold_in(model, spark.createDataFrame(new, "u int, i int, r double"), "u", "i", "r")
+    v = np.stack([items[i] for i in (3, 7, 9)])
+    want = np.linalg.solve(v.T @ v + 0.01 * 3 * np.eye(10), v.T @ np.array([5.0, 1.0, 4.0]))
+    (only,) = factors.collect()
+    assert only.u == 900 and np.allclose(only.factors, want)
+    best = sorted(items, key=lambda i: (-float(items[i] @ want), i))[:3]
+    for most in (1, 1000):
+        top = learning.recommend_folded(model, factors, 3, "u", "i", most).orderBy("position").collect()
+        assert [(r.u, r.position, r.i) for r in top] == [(900, p + 1, i) for p, i in enumerate(best)]
+    assert learning.recommend_folded(model, factors.limit(0), 3, "u", "i").collect() == []
+
+
+def test_lloyd_equals_the_plain_rounds(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)) + rng.integers(0, 3, size=(300, 1)) * 4
+    start = [*x[:3].tolist(), [1e6] * 4]  # the last one never gets a point
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(300, None)], "id long, f array<double>").repartition(5)
+    now = np.array(start)
+    for _ in range(5):
+        place = ((x[:, None] - now[None]) ** 2).sum(axis=2).argmin(axis=1)
+        now = np.array([x[place == k].mean(axis=0) if (place == k).any() else now[k] for k in range(4)])
+    got = learning.lloyd(df, "f", start, 5)
+    assert np.allclose(got, now) and got[3].tolist() == [1e6] * 4
+    assert {r.id: r.place for r in learning.nearest_centre(df, "id", "f", got).collect()} == dict(enumerate(((x[:, None] - now[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()))
+    assert learning.lloyd(df.limit(0), "f", start, 2).tolist() == start
+
+
+def test_vocabulary_options(spark):
+    rows = [(1, ["a", "a", "b"]), (2, ["a", "c"]), (3, ["b", "d", "d"]), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "id int, t array<string>")
+    terms = [tuple(r) for r in T.vocabulary(df, "t", 3).orderBy("slot").collect()]
+    assert terms == [("a", 0, 3, 2), ("b", 1, 2, 2), ("d", 2, 2, 1)]
+    assert {r.term for r in T.vocabulary(df, "t", 10, min_df=0.4).collect()} == {"a", "b"}
+    got = {(r.id, r.term): r.n for r in T.count_vectorize(df, "id", "t", 10, 1.0).collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 1, (2, "c"): 1, (3, "b"): 1, (3, "d"): 2}
+    once = {(r.id, r.term): r.n for r in T.count_vectorize(df, "id", "t", 10, 1.0, binary=True).collect()}
+    assert once == dict.fromkeys(got, 1)
+    assert T.count_vectorize(df.limit(0), "id", "t", 10, 1.0).collect() == []
