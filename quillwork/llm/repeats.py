@@ -2,7 +2,7 @@
 
 Shards must hold together what may repeat. In each string of ``depth`` bytes one inner substring of
 ANCHOR bytes is chosen by the string's content alone (the one of smallest hash), so equal strings
-choose equal anchors. Consecutive strings with one anchor make a segment; segments whose anchor occurs
+choose equal anchors. Consecutive strings with equal anchors make a segment; segments whose anchor occurs
 more than once are sent to a shard by the anchor's hash. Equal segments count as one with a weight.
 Each shard builds its suffix array, reads repeats from common prefixes, and shards of one anchor are
 merged by binary search. An anchor with very many different segments is cut again by longer anchors.
@@ -31,6 +31,8 @@ LONG_ANCHOR = 392
 #: Different segments of one anchor beyond which they are cut again.
 CROWDED = 20_000
 SHARD_BYTES = 4 << 20
+#: Strings of one segment; longer segments are cut.
+SEGMENT_STARTS = 1 << 16
 #: Bytes of text hashed at once.
 BATCH_BYTES = 2 << 20
 
@@ -51,7 +53,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, depth: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, last start, anchor hash) of all runs of strings with one anchor."""
+    """(text, first start, last start, anchor hash, several) of all runs of strings with equal anchors; ``several``: not all at one place."""
     hashes = Prefix(data).windows(anchor)
     mask = np.uint64((1 << _PLACE_BITS) - 1)
     coded = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
@@ -64,38 +66,46 @@ def segments(data: np.ndarray, offsets: np.ndarray, depth: int, anchor: int) ->
     valid = np.cumsum(change[:n]) > 0
     if not valid.any():
         none = np.empty(0, dtype=np.int64)
-        return none, none, none, np.empty(0, dtype=np.uint64)
-    other = np.append(True, place[1:] != place[:-1])
+        return none, none, none, np.empty(0, dtype=np.uint64), none.astype(bool)
+    # anchors of one hash go on with the same segment: a periodic text has one at every period
+    chosen = hashes[place]
+    other = np.append(True, chosen[1:] != chosen[:-1])
     fresh = valid & (other | np.append(True, ~valid[:-1]))
     ends = valid & (np.append(other[1:], True) | np.append(~valid[1:], True))
     first, last = np.flatnonzero(fresh), np.flatnonzero(ends)
+    pieces = (last - first) // SEGMENT_STARTS + 1
+    if (pieces > 1).any():  # pieces of a periodic text are equal and count as one later
+        begin = np.repeat(first, pieces) + SEGMENT_STARTS * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        last = np.minimum(np.repeat(last, pieces), begin + SEGMENT_STARTS - 1)
+        first = begin
     text = np.searchsorted(offsets, first, side="right") - 1
-    return text, first, last, hashes[place[first]]
+    return text, first, last, chosen[first], place[first] != place[last]
 
 
-_SEGMENT = "anchor long, c1 long, c2 long, key binary, at long, starts int, bytes binary"
+_SEGMENT = "anchor long, c1 long, c2 long, key binary, at long, starts int, bytes binary, several boolean"
 _SEGMENT_ARROW = pa.schema([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("key", pa.binary()),
-                            ("at", pa.int64()), ("starts", pa.int32()), ("bytes", pa.binary())])
+                            ("at", pa.int64()), ("starts", pa.int32()), ("bytes", pa.binary()), ("several", pa.bool_())])
 
 
 def _segment_rows(data, offsets, keys, bases, depth, anchor, wanted):
-    text, first, last, hashes = segments(data, offsets, depth, anchor)
+    text, first, last, hashes, several = segments(data, offsets, depth, anchor)
     if wanted is not None:
         hit = np.flatnonzero(contains(wanted, hashes))
-        text, first, last, hashes = text[hit], first[hit], last[hit], hashes[hit]
+        text, first, last, hashes, several = text[hit], first[hit], last[hit], hashes[hit], several[hit]
     raw = [data[a : b + depth].tobytes() for a, b in zip(first.tolist(), last.tolist())]
     digest = np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=16).digest() for r in raw), dtype=np.int64).reshape(-1, 2)
     at = first - offsets[text] + np.asarray(bases, dtype=np.int64)[text]
     return pa.RecordBatch.from_arrays(
         [pa.array(hashes.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
          pa.array([keys[t] for t in text.tolist()], pa.binary()), pa.array(at),
-         pa.array((last - first + 1).astype(np.int32)), pa.array(raw, pa.binary())], schema=_SEGMENT_ARROW)
+         pa.array((last - first + 1).astype(np.int32)), pa.array(raw, pa.binary()), pa.array(several)], schema=_SEGMENT_ARROW)
 
 
 def _anchors(rows: DataFrame, depth: int, anchor: int) -> DataFrame:
     def run(batches):
         for batch in by_bytes(batches, 1, BATCH_BYTES):
-            hashes = segments(*text_bytes(batch.column(1)), depth, anchor)[3]
+            *_, hashes, several = segments(*text_bytes(batch.column(1)), depth, anchor)
+            hashes = np.repeat(hashes, 1 + several)  # an anchor at several places of one segment occurs more than once
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["anchor"])
 
     return rows.mapInArrow(run, "anchor long")
@@ -133,12 +143,13 @@ def _repeated(distinct: DataFrame, depth: int) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def solve(rows):
-        """Rows of whole anchors; only those with several segments need the arrays."""
-        many = [r for group in rows if len(group) > 1 for r in group]
+        """Rows of whole anchors; only those with several segments, or places in one, need the arrays."""
+        alone = lambda g: len(g) == 1 and not g[0][5]
+        many = [r for group in rows if not alone(group) for r in group]
         flags = repeated_starts([r[4] for r in many], depth, SHARD_BYTES) if many else []
-        done = list(zip(many, flags)) + [(g[0], np.zeros(len(g[0][4]) - depth + 1, dtype=bool)) for g in rows if len(g) == 1]
+        done = list(zip(many, flags)) + [(g[0], np.zeros(len(g[0][4]) - depth + 1, dtype=bool)) for g in rows if alone(g)]
         out = []
-        for (anchor, c1, c2, k, _), flag in done:
+        for (anchor, c1, c2, k, _, _), flag in done:
             if k > 1:
                 out.append((anchor, c1, c2, 0, len(flag) - 1))
             elif flag.any():
@@ -165,14 +176,14 @@ def _repeated(distinct: DataFrame, depth: int) -> DataFrame:
     width = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         distinct.repartition(width, "anchor").sortWithinPartitions("anchor", "c1", "c2")
-        .select("anchor", "c1", "c2", "k", "bytes")
+        .select("anchor", "c1", "c2", "k", "bytes", "several")
         .mapInArrow(run, "anchor long, c1 long, c2 long, first int, last int")
     )
 
 
 def _ranges(occurrences: DataFrame, depth: int) -> DataFrame:
     """``key, first, last``: repeated starts of texts, from their stored segments."""
-    distinct = occurrences.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("k"), F.first("bytes").alias("bytes"))
+    distinct = occurrences.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("k"), F.first("bytes").alias("bytes"), F.max("several").alias("several"))
     return (
         occurrences.select("anchor", "c1", "c2", "key", "at")
         .join(_repeated(distinct, depth), ["anchor", "c1", "c2"])

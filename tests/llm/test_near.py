@@ -171,3 +171,33 @@ def test_repeats_on_table(spark, sf):
     want = dict(zip([r["doc_id"] for r in rows], repeats([r["text"] for r in rows], 400)))
     got = LLM_QUERIES["op9_suffix_array_dedup"](spark, sf).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
+
+
+def test_segments_of_periodic_texts_do_not_grow_with_the_square():
+    from quillwork.llm import repeats as R
+
+    for unit in (b"a", b"ab", b"abcdefghij" * 20, bytes(range(65, 90)) * 15):
+        data = np.frombuffer(unit * (600_000 // len(unit)), dtype=np.uint8)
+        text, first, last, *_ = R.segments(data, np.array([0, len(data)]), 400, 128)
+        assert int((last - first + 400).sum()) < 3 * len(data) and int((last - first + 1).sum()) == len(data) - 399
+        assert len(text) < 6_000 and (last - first < R.SEGMENT_STARTS).all()
+
+
+def test_repeats_of_periodic_and_planted_texts(spark):
+    """Passages of 400 bytes or more go wherever they repeat, shorter ones stay; periodic texts end."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = {n: (prose(n) + " " * 9)[: n * 6] for n in (51, 55, 60, 66, 67, 70, 90, 120, 200)}
+    texts, holds = [], []
+    for i in range(90):
+        n = sorted(passages)[i % 9]
+        texts.append(f"{prose(30)} {passages[n]} {prose(30)}")
+        holds.append(len(passages[n].encode()))
+    texts += ["x" * 5_000, "ab" * 3_000, "abc" * 150, "x" * 399, "", None, prose(900)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = remove_repeats(frame).withColumn("s", F.sha2("kept", 256)).collect()
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["s"]) for x in kept}
+    want = repeats(texts, 400)
+    assert [got[i] for i in range(len(texts))] == want
+    assert all((got[i][1] > 0) == (size >= 400) for i, size in enumerate(holds))
