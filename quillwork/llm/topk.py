@@ -25,6 +25,8 @@ from quillwork.sources.tables import table
 CELLS = 64
 DATA_ROWS = 1024
 QUERY_ROWS = 256
+#: Components beyond this count as this; scores with them are beyond 64 bits in any case.
+FARTHEST = 1e150
 K = 5
 
 _BLOCK = "cell long, block int, dim int, radius double, center binary, ids binary, points binary"
@@ -32,6 +34,11 @@ _BLOCK_ARROW = pa.schema([("cell", pa.int64()), ("block", pa.int32()), ("dim", p
                           ("center", pa.binary()), ("ids", pa.binary()), ("points", pa.binary())])
 
 
+def whole(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 * x) of every component; those beyond FARTHEST stand for it, so that no square is infinite."""
+    return np.floor(256 * np.clip(vectors, -FARTHEST, FARTHEST))
+
+
 def _centres(rows: DataFrame, cells: int) -> dict[int, np.ndarray]:
     """Far-apart sampled vectors per vector length: each next one is the farthest from those before."""
     drawn: dict[int, list] = {}
@@ -39,7 +46,7 @@ def _centres(rows: DataFrame, cells: int) -> dict[int, np.ndarray]:
         drawn.setdefault(len(r["v"]), []).append(r["v"])
     out = {}
     for dim, vectors in drawn.items():
-        points = np.floor(256 * np.array(vectors))
+        points = whole(np.array(vectors))
         chosen, gap = [0], ((points - points[0]) ** 2).sum(axis=1)
         while len(chosen) < cells and gap.max() > 0:
             chosen.append(int(gap.argmax()))
@@ -58,7 +65,7 @@ def _placed(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
             sizes = np.array([len(v) for v in batch.column(1).to_pylist()])
             for dim in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == dim))
-                points = np.floor(256 * matrix(part.column(1)))
+                points = whole(matrix(part.column(1)))
                 known = shared.value.get(dim)
                 near = np.zeros(len(points), dtype=np.int64)
                 if known is not None:
@@ -136,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec
     ``vector``. Rows whose vector is null, empty, or holds null or non-finite components, and rows
     without vec_id, take no part; vectors meet those of their own length; rows equal in id and vector
     count once. A query with fewer others gets all of them. Empty tables give no rows. Scores beyond
-    64 bits are held at the limit.
+    64 bits are held at the limit, also those of finite components that 256 times would be infinite.
     """
     def clean(df):
         rows = df.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))

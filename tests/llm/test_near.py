@@ -201,3 +201,36 @@ def test_repeats_of_periodic_and_planted_texts(spark):
     want = repeats(texts, 400)
     assert [got[i] for i in range(len(texts))] == want
     assert all((got[i][1] > 0) == (size >= 400) for i, size in enumerate(holds))
+
+
+def test_top_k_of_the_largest_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.7e308, 1.0]), (2, [-1.7e308, 1.0]), (3, [2.0, 5.0]), (4, [1e306, -1e306])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in search_top_k(frame, frame.where("vec_id IN (0, 3)")).collect()}
+    top = 2**63 - 1
+    assert [got[0, k] for k in (1, 2)] == [(1, top), (4, top)] and got[0, 3] == (3, 256 * 512) and got[0, 4] == (2, -(2**63))
+    assert got[3, 1] == (1, top) and got[3, 2] == (0, 512 * 256) and got[3, 4][1] == -(2**63)
+
+
+def test_near_vectors_recall_on_planted_pairs(spark):
+    """Thousands of pairs of cosine 0.90 to 0.95 among vectors that are far from each other."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1500, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [base]
+    for _ in range(2):
+        off = rng.normal(size=base.shape)
+        off -= (off * base).sum(axis=1, keepdims=True) * base
+        off /= np.linalg.norm(off, axis=1, keepdims=True)
+        cosine = rng.uniform(0.901, 0.95, size=(len(base), 1))
+        rows.append(cosine * base + np.sqrt(1 - cosine**2) * off)
+    x = np.concatenate(rows)
+    links = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert links.sum() > 6_000
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(frame, threshold=0.9).collect()}
+    want = links.sum(axis=1)
+    assert all(got[i] <= n for i, n in enumerate(want.tolist()))
+    recall = sum(got.values()) / int(links.sum())
+    print("recall", recall)
+    assert recall >= 0.9
