@@ -69,16 +69,20 @@ def predict(model: TextBayes, rows: DataFrame, key: str, tokens: str, size: str)
 
     A tie goes to the class of the smaller place. ``key`` is unique.
     """
+    # equal words of a row are counted before they meet the model
     words = rows.select(key, F.explode_outer(tokens).alias("term")).where("term IS NOT NULL")
-    met = lookup_join(words, model.terms, ["term"], spread=[key], how="inner")
-    seen = met.groupBy(key).agg(F.sum("idf").alias("known"))
-    parts = met.select(key, "idf", F.explode("weights").alias("w"))
-    gains = (
-        parts.groupBy(key, F.col("w.class").alias("class")).agg(F.sum(F.col("idf") * F.col("w.weight")).alias("gain"))
-        .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("class", "gain"))).alias("gains"))
-    )
+    counted = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    met = lookup_join(counted, model.terms, ["term"], spread=[key], how="inner")
+    # the entry without a class adds up what all known words weigh
+    every = F.concat("weights", F.array(F.struct(F.lit(None).cast(model.classes.schema["class"].dataType).alias("class"), F.lit(1.0).alias("weight"))))
+    parts = met.select(key, (F.col("tf") * F.col("idf")).alias("mass"), F.explode(every).alias("w"))
+    sums = parts.groupBy(key, F.col("w.class").alias("class")).agg(F.sum(F.col("mass") * F.col("w.weight")).alias("gain"))
+    gathered = sums.groupBy(key).agg(
+        F.max(F.when(F.col("class").isNull(), F.col("gain"))).alias("known"),
+        F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "gain")))).alias("gains"),
+    )
     classes = model.classes.agg(F.array_sort(F.collect_list(F.struct("place", "class", "prior", "unseen", "size"))).alias("c"))
-    scored = rows.select(key, F.col(size).alias("_size")).join(seen, key, "left").join(gains, key, "left").withColumn("_classes", classes.scalar())
+    scored = rows.select(key, F.col(size).alias("_size")).join(gathered, key, "left").withColumn("_classes", classes.scalar())
     known = F.coalesce("known", F.lit(0.0))
 
     def score(c):
