@@ -2,7 +2,7 @@
 
 Equal shingle sets become one class. Classes with the same smallest shingle (of frequent ones, where
 these prevail) form a group, cut where it is large. The matrix says which tokens a group holds. Two sets of the wanted similarity share a
-token among the first few of each in any common order, so only groups that share such a token meet;
+few tokens among the first ones of each in any common order, so only groups that share so many of them meet;
 tokens that prove frequent go to the end of the order, by a bitmap of fixed size.
 Of a pair of groups, a set whose overlap with the other group's token union is too small is left out,
 and the group is opened for the others: overlaps with its members are counted token by token, and
@@ -23,10 +23,13 @@ from quillwork.llm.common import slices, stored
 from quillwork.llm.components import Forest, components
 from quillwork.llm.hashing import by_bytes, shingles
 from quillwork.llm.registry import llm_query
+from quillwork.operators.lookups import lookup_join
 from quillwork.sources.tables import table
 
 #: Classes in a group.
 GROUP_CLASSES = 256
+#: Tokens that similar sets must share among their first ones, if they have so many; each makes the first ones one longer.
+SHARED_FIRST = 3
 #: Tokens counted more often than this are frequent.
 FREQUENT = 64
 #: Tokens that a task counts at once.
@@ -41,12 +44,16 @@ def _need(n: int, percent: int) -> int:
 
 
 def _first(tokens: np.ndarray, percent: int, frequent: np.ndarray | None) -> np.ndarray:
-    """The tokens of a sorted set among which one of any similar set's must be, in the common order."""
+    """The tokens of a sorted set that hold SHARED_FIRST of any similar set's first ones, in the common order.
+
+    Sets with a overlapping tokens share k of them among the first n - a + k of each, as at most a - k of
+    either side's come later. Sets that need fewer overlapping tokens than k share all of them.
+    """
     if frequent is not None:
         late = contains(frequent, tokens)
         if late.any():
             tokens = np.concatenate([tokens[~late], tokens[late]])
-    return tokens[: len(tokens) - _need(len(tokens), percent) + 1]
+    return tokens[: len(tokens) - _need(len(tokens), percent) + SHARED_FIRST]
 
 
 def _head(tokens: np.ndarray, frequent: np.ndarray) -> int | None:
@@ -192,26 +199,28 @@ def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows for ``open_groups`` from pairs x, y of groups."""
+    """Rows for ``open_groups`` from pairs x, y of groups.
+
+    Pairs are numbers only, so they go to the blocks; of a pair only y's block travels to x's.
+    """
     cells = ("ids", "sizes", "tokens")
-    own = pairs.where("x = y").join(blocks.withColumnRenamed("g", "x"), "x").select(
+    own = lookup_join(blocks, pairs.where("x = y").select(F.col("x").alias("g")), ["g"], spread=["g"], how="inner").select(
         *cells, *[F.lit(None).cast("binary").alias(f"o_{c}") for c in cells]
     )
-    two = (
-        pairs.where("x <> y").join(blocks.withColumnRenamed("g", "x"), "x")
-        .join(blocks.toDF("y", *[f"o_{c}" for c in cells]), "y")
-        .select(*cells, *[f"o_{c}" for c in cells])
-    )
+    apart = pairs.where("x <> y").select("x", "y")
+    travelling = lookup_join(blocks.toDF("y", *[f"o_{c}" for c in cells]), apart, ["y"], spread=["y"], how="inner")
+    met = lookup_join(blocks, apart.select(F.col("x").alias("g")).distinct(), ["g"], spread=["g"], how="inner")
+    two = met.withColumnRenamed("g", "x").join(travelling, "x").select(*cells, *[f"o_{c}" for c in cells])
     return own.unionByName(two)
 
 
 def unsettled(pairs: DataFrame, member: DataFrame, matrix: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs of groups where two sets of different components share a first token."""
+    """The pairs of groups (x, y, few) where sets of different components share so many first tokens as similar ones must."""
     placed = member.join(found, "id", "left").select("g", "first", F.coalesce("component", "id").alias("c"))
     sides = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     apart = (F.col("x_lo") != F.col("x_hi")) | (F.col("y_lo") != F.col("y_hi")) | (F.col("x_lo") != F.col("y_lo"))
     mixed = stored(
-        pairs.join(sides.toDF("x", "x_lo", "x_hi"), "x").join(sides.toDF("y", "y_lo", "y_hi"), "y").where(apart).select("x", "y"),
+        pairs.join(sides.toDF("x", "x_lo", "x_hi"), "x").join(sides.toDF("y", "y_lo", "y_hi"), "y").where(apart).select("x", "y", "few"),
         "pairs",
     )
     groups = mixed.select(F.col("x").alias("g")).unionByName(mixed.select(F.col("y").alias("g"))).distinct()
@@ -222,7 +231,8 @@ def unsettled(pairs: DataFrame, member: DataFrame, matrix: DataFrame, found: Dat
         "matrix",
     )
     meeting = cells.toDF("token", "x", "x_lo", "x_hi").join(cells.toDF("token", "y", "y_lo", "y_hi"), "token")
-    return meeting.where((F.col("x") < F.col("y")) & apart).select("x", "y").distinct().join(mixed, ["x", "y"], "left_semi")
+    counted = meeting.where((F.col("x") < F.col("y")) & apart).groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
+    return counted.join(mixed, ["x", "y"]).where("k >= few").select("x", "y")
 
 
 def jaccard_components(
@@ -257,7 +267,9 @@ def jaccard_components(
         )
 
     member = stored(grouped(heads, "doc_id").select(F.col("doc_id").alias("id"), "n", "g", "first"), "classes")
-    cells = member.select(F.explode("first").alias("token"), "g").distinct()
+    # dealt by token once: the distinct cells, the tokens of several groups and their join all go by it
+    width_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = member.select(F.explode("first").alias("token"), "g").repartition(width_, "token").distinct()
     met = cells.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     matrix = stored(cells.join(met, "token", "left_semi"), "matrix")
     sizes = member.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -275,10 +287,13 @@ def jaccard_components(
         (100 * F.col("x_most") >= percent * F.col("y_least"))
         & (100 * F.col("y_most") >= percent * F.col("x_least"))
         & (100 * (100 + percent) * F.col("c") >= missing)
+        & (F.col("c") >= F.col("few"))
     )
-    across = shared.where(possible).select("x", "y", "c")
+    # the smallest sets of a pair of groups may need fewer overlapping tokens than SHARED_FIRST
+    few = F.least(F.lit(SHARED_FIRST), F.ceil(smaller * percent / 100)).cast("bigint")
+    across = shared.withColumn("few", few).where(possible).select("x", "y", "c", "few")
     inside = member.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(
-        F.col("g").alias("x"), F.col("g").alias("y"), F.lit(0).cast("bigint").alias("c")
+        F.col("g").alias("x"), F.col("g").alias("y"), F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("few")
     )
     pairs = stored(across.unionByName(inside), "pairs")
     groups = pairs.select(F.col("x").alias("g")).unionByName(pairs.select(F.col("y").alias("g"))).distinct()
@@ -306,7 +321,7 @@ def jaccard_components(
     nearest = pairs.where("x < y").groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x")).select("x", "y")
     first = stored(pairs.where("x = y").select("x", "y").unionByName(nearest), "pairs")
     begun = components(open_groups(block_pairs(blocks, first), percent))
-    rest = stored(unsettled(pairs.select("x", "y").join(first, ["x", "y"], "left_anti"), member, matrix, begun), "pairs")
+    rest = stored(unsettled(pairs.select("x", "y", "few").join(first, ["x", "y"], "left_anti"), member, matrix, begun), "pairs")
     begun_links = begun.select(F.col("id").alias("a"), F.col("component").alias("b"))
     found = components(begun_links.unionByName(open_groups(block_pairs(blocks, rest), percent)))
     ids = full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "id")
