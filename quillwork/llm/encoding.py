@@ -183,6 +183,6 @@ class WordEncoder:
         return b"".join(codes)
 
 
-def encoder(path: str, blank_leads: bool) -> ByteEncoder | WordEncoder:
-    """``blank_leads``: words of the vocabulary begin with their blank (byte-level); otherwise they carry an end mark."""
-    return ByteEncoder(path) if blank_leads else WordEncoder(path)
+def encoder(path: str, blank_leads: bool, kept: int = KEPT_PIECES) -> ByteEncoder | WordEncoder:
+    """``blank_leads``: words of the vocabulary begin with their blank (byte-level); otherwise they carry an end mark and ``kept`` of them are remembered."""
+    return ByteEncoder(path) if blank_leads else WordEncoder(path, kept)

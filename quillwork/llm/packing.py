@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillwork.llm.common import slices, stored, text_list
+from quillwork.llm.encoding import KEPT_PIECES
 from quillwork.llm.encoding import encoder as encoder_of
 from quillwork.llm.registry import llm_query
 from quillwork.sources.tables import table
@@ -32,7 +33,7 @@ _RANK_BITS = 44
 
 def cut_documents(
     docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
-    blank_leads: bool = False,
+    blank_leads: bool = False, kept: int = KEPT_PIECES,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each document's ids and the end id, cut where too long.
 
@@ -42,7 +43,7 @@ def cut_documents(
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches):
-        encoder = encoder_of(tokenizer, blank_leads)
+        encoder = encoder_of(tokenizer, blank_leads, kept)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches):
             rows = []
@@ -181,10 +182,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, ranked_rows: int = RANKED_
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, kept: int = KEPT_PIECES) -> DataFrame:
     import public_tokenizers
 
-    pieces = stored(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, capacity), "pieces")
+    pieces = stored(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, capacity, kept=kept), "pieces")
     return pack(pieces, capacity)
 
 
