@@ -18,6 +18,8 @@ from quillwork.sources.tables import table
 #: Tokens that the mix hands out, as a share of those left, and how often it may take a document.
 MIX_SHARE = 1.0
 MIX_EPOCHS = 2
+#: Pieces whose ids a packing worker remembers: it has run the other stages before and keeps their memory.
+PACKING_PIECES = 300_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and place there."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, kept=PACKING_PIECES)
 
 
 STAGES = [
