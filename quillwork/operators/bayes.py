@@ -31,11 +31,9 @@ def fit(rows: DataFrame, tokens: str, label: str, size: str, smoothing: float =
     """
     known = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("class"), tokens, F.col(size).alias("size"))
     # every occurrence counts once for the frequency, and once a row for the documents
-    both = F.concat(
-        F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-    )
-    marks = known.select("class", F.explode_outer(both).alias("m")).where("m.term IS NOT NULL").select("class", "m.*")
+    occurrences = known.select("class", F.explode_outer(tokens).alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
+    documents_with = known.select("class", F.explode_outer(F.array_distinct(tokens)).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
+    marks = occurrences.unionByName(documents_with).where("term IS NOT NULL")
     counts = durable(marks.groupBy("term", "class").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")))
     per_class = known.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     totals = per_class.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
