@@ -23,7 +23,6 @@ from quillwork.llm.common import slices, stored
 from quillwork.llm.components import Forest, components
 from quillwork.llm.hashing import by_bytes, shingles
 from quillwork.llm.registry import llm_query
-from quillwork.operators.lookups import lookup_join
 from quillwork.sources.tables import table
 
 #: Classes in a group.
@@ -199,18 +198,16 @@ def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows for ``open_groups`` from pairs x, y of groups.
-
-    Pairs are numbers only, so they go to the blocks; of a pair only y's block travels to x's.
-    """
+    """Rows for ``open_groups`` from pairs x, y of groups; they are dealt by y, as one x may be paired with very many."""
     cells = ("ids", "sizes", "tokens")
-    own = lookup_join(blocks, pairs.where("x = y").select(F.col("x").alias("g")), ["g"], spread=["g"], how="inner").select(
+    own = pairs.where("x = y").join(blocks.withColumnRenamed("g", "x"), "x").select(
         *cells, *[F.lit(None).cast("binary").alias(f"o_{c}") for c in cells]
     )
-    apart = pairs.where("x <> y").select("x", "y")
-    travelling = lookup_join(blocks.toDF("y", *[f"o_{c}" for c in cells]), apart, ["y"], spread=["y"], how="inner")
-    met = lookup_join(blocks, apart.select(F.col("x").alias("g")).distinct(), ["g"], spread=["g"], how="inner")
-    two = met.withColumnRenamed("g", "x").join(travelling, "x").select(*cells, *[f"o_{c}" for c in cells])
+    two = (
+        pairs.where("x <> y").join(blocks.withColumnRenamed("g", "x"), "x")
+        .join(blocks.toDF("y", *[f"o_{c}" for c in cells]), "y")
+        .select(*cells, *[f"o_{c}" for c in cells])
+    )
     return own.unionByName(two)
 
 
