@@ -262,6 +262,10 @@ def ingest_metrics(spark, sf):
     )
 
 
+# Chunk files a batch of the ingest takes: what a batch costs by itself is shared by so many chunks.
+CHUNKS_A_BATCH = 256
+
+
 @query(
     "ingest_progress",
     f"""SELECT chunk, count(*) AS rows, sum(length(content))::BIGINT AS chars, true AS timed
@@ -271,7 +275,7 @@ def ingest_progress(spark, sf):
     """A row for each chunk that is ingested; the times differ from run to run, so the query tells that they are there."""
     rows = _page_rows(spark, sf, 200)
     own = counts.stream_session(spark)
-    chunks = counts.file_stream(own, writers.write_chunks(rows, "progress-input"), rows.schema, files_per_batch=1)
+    chunks = counts.file_stream(own, writers.write_chunks(rows, "progress-input"), rows.schema, files_per_batch=CHUNKS_A_BATCH)
     progress = counts.chunk_progress(own, chunks, "chunk", "content")
     timed = (F.col("seconds") > 0) & (F.abs(F.col("seconds_a_row") * F.col("rows") - F.col("seconds")) < 1e-6)
     return progress.select("chunk", "rows", "chars", timed.alias("timed"))

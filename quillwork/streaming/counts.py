@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from quillwork.sources.storage import fresh_path, shared_folder
 from quillwork.streaming.live import BatchProgress, LiveTable, Running, start
@@ -182,18 +183,24 @@ def closed_windows(spark: SparkSession, stream: DataFrame, ts: str, key: str, le
 
 
 def chunk_progress(spark: SparkSession, chunks: DataFrame, chunk: str, size: str) -> DataFrame:
-    """Write a stream of chunk files again, a batch a file: ``chunk, rows, chars, rows_done, seconds, seconds_a_row``.
+    """Write a stream of chunk files again, a file a chunk: ``chunk, rows, chars, rows_done, seconds, seconds_a_row``.
 
-    ``chunk`` numbers the chunks and ``size`` is a text column whose characters are counted.
+    ``chunk`` numbers the chunks and ``size`` is a text column whose characters are counted. A batch may hold many
+    chunks, which are written side by side: ``seconds`` is a chunk's share, by rows, of what its batch took, and
+    ``rows_done`` counts the chunks of a batch in their order.
     """
     progress, path = BatchProgress(spark), fresh_path(spark, "chunks")
 
     def write(batch: DataFrame, batch_id: int) -> int:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        return batch.sparkSession.read.parquet(f"{path}/batch={batch_id}").count()
+        batch.write.mode("overwrite").partitionBy(chunk).parquet(f"{path}/batch={batch_id}")
+        return batch.sparkSession.read.schema(chunks.schema).parquet(f"{path}/batch={batch_id}").count()
 
     run_to_end(chunks, progress.timed(write), "append")
     written = spark.read.schema(chunks.schema).parquet(f"{path}/batch=*").select("*", F.col("_metadata.file_path").alias("_file"))
     batch_id = F.regexp_extract("_file", r"/batch=(\d+)/", 1).cast("bigint")
-    sizes = written.groupBy(batch_id.alias("batch_id")).agg(F.min(chunk).alias("chunk"), F.sum(F.length(size)).alias("chars"))
-    return progress.table().join(sizes, "batch_id").select("chunk", "rows", "chars", "rows_done", "seconds", "seconds_a_row")
+    sizes = written.groupBy(batch_id.alias("batch_id"), chunk).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(size)).alias("chars"))
+    after = F.sum("n").over(Window.partitionBy("batch_id").orderBy(F.desc(chunk))) - F.col("n")
+    return progress.table().join(sizes, "batch_id").select(
+        chunk, F.col("n").alias("rows"), "chars", (F.col("rows_done") - after).alias("rows_done"),
+        (F.col("seconds_a_row") * F.col("n")).alias("seconds"), "seconds_a_row",
+    )

@@ -160,3 +160,15 @@ def test_progress_of_a_repeated_batch_is_replaced(spark):
     assert {b: r.rows for b, r in got.items()} == {0: 10, 1: 20} and got[0].seconds_a_row == pytest.approx(got[0].seconds / 10)
     each(spark.range(0), 2)
     assert {r.batch_id: r.seconds_a_row for r in progress.table().collect()}[2] is None
+
+
+def test_chunks_of_one_batch_have_a_row_each(spark):
+    rows = spark.range(23).select((F.col("id") / 5).cast("bigint").alias("chunk"), F.lit("abc").alias("content"))
+    folder = writers.write_chunks(rows, "test-progress")
+    stream = counts.file_stream(counts.stream_session(spark), folder, rows.schema, files_per_batch=3)
+    got = counts.chunk_progress(stream.sparkSession, stream, "chunk", "content").collect()
+    assert sorted((r.chunk, r.rows, r.chars) for r in got) == [(0, 5, 15), (1, 5, 15), (2, 5, 15), (3, 5, 15), (4, 3, 9)]
+    assert all(r.seconds > 0 and r.seconds_a_row * r.rows == pytest.approx(r.seconds) for r in got)
+    assert len({r.seconds_a_row for r in got}) == 2  # two batches for five chunks
+    done = sorted((r.rows_done, r.rows) for r in got)
+    assert [d for d, _ in done] == [sum(n for _, n in done[: i + 1]) for i in range(5)]
