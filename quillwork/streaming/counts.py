@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillwork.sources.storage import fresh_path, shared_folder
@@ -41,12 +41,13 @@ def file_stream(
 
 def run_to_end(
     stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str, every: str | None = None, seconds: float = 3600,
-    states: list[dict] | None = None,
+    states: list[dict] | None = None, checkpoint: str | None = None,
 ) -> None:
     """Feed every micro-batch to ``each``: all available input once, or a batch per ``every`` interval.
 
     With an interval the stream is ended when nothing more has come for three intervals' time or
     ``seconds`` are over, whichever is first. ``states`` takes the state's rows and late rows of the last batches.
+    Without an interval, a ``checkpoint`` folder of an earlier run goes on where that run ended.
     """
     if every:
         with start(stream, each, mode, every) as running:
@@ -56,7 +57,7 @@ def run_to_end(
     running = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(each)
-        .option("checkpointLocation", fresh_path(stream.sparkSession, "stream"))
+        .option("checkpointLocation", checkpoint or fresh_path(stream.sparkSession, "stream"))
         .trigger(availableNow=True)
         .start()
     )
@@ -104,20 +105,35 @@ def running_count(spark: SparkSession, stream: DataFrame, keys: list[str | Colum
     return log.groupBy(*names).agg(F.max_by("n", "batch_id").alias("n"))
 
 
-def batch_count(spark: SparkSession, stream: DataFrame, key: str, file: str | None = None) -> DataFrame:
-    """Counts of each batch by itself, as ``batch_id, key, n``.
+def batch_count(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame:
+    """Counts of each batch by itself, as ``batch_id, key, n``."""
+    return batch_log(spark, stream, "append", lambda b: b.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+
+
+def part_words(spark: SparkSession, rows: DataFrame, part: str, text: str) -> DataFrame:
+    """Words counted by batch, a batch for each value of ``part``: ``batch_id, word, n, files``.
 
-    With the name of a column that holds each row's file, also the manifest of the batches: ``files``, the sorted
-    files a batch was made of. The counts are those of these files, however they were cut into batches.
+    The parts come in one after the other, each as many files as it is read in, and the stream takes what has come
+    since: one batch of all files of a part. ``files`` is the manifest, the sorted files a batch was made of.
     """
-    if file is None:
-        return batch_log(spark, stream, "append", lambda b: b.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-    log = batch_log(
-        spark, stream, "append",
-        lambda b: b.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.collect_set(file).alias("files")),
-    )
-    manifest = log.select("batch_id", F.explode("files").alias("f")).groupBy("batch_id").agg(F.array_sort(F.collect_set("f")).alias("files"))
-    return log.select("batch_id", key, "n").join(manifest, "batch_id")
+    folder, path, checkpoint = (fresh_path(spark, n) for n in ("stream-input", "batches", "stream"))
+    own = stream_session(spark)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counted = words(batch, text).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        counted.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
+        batch.select("_file").distinct().write.mode("overwrite").parquet(f"{path}/files/batch_id={batch_id}")
+
+    parts = [r[0] for r in rows.select(part).distinct().orderBy(part).collect()]
+    for value in parts:
+        came = rows.where(F.col(part).eqNullSafe(F.lit(value)))
+        came.write.mode("append").partitionBy(part).parquet(folder)
+        lines = file_stream(own, folder, rows.schema).select(text, F.col("_metadata.file_path").alias("_file"))
+        run_to_end(lines, write, "append", checkpoint=checkpoint)
+    if not parts:
+        return spark.createDataFrame([], "batch_id int, word string, n long, files array<string>")
+    manifest = spark.read.parquet(f"{path}/files").groupBy("batch_id").agg(F.array_sort(F.collect_set("_file")).alias("files"))
+    return spark.read.parquet(f"{path}/counts").join(F.broadcast(manifest), "batch_id").select("batch_id", "word", "n", "files")
 
 
 def sliding_count(
@@ -192,13 +208,12 @@ def chunk_progress(spark: SparkSession, chunks: DataFrame, chunk: str, size: str
     progress, path = BatchProgress(spark), fresh_path(spark, "chunks")
 
     def write(batch: DataFrame, batch_id: int) -> int:
-        batch.write.mode("overwrite").partitionBy(chunk).parquet(f"{path}/batch={batch_id}")
-        return batch.sparkSession.read.schema(chunks.schema).parquet(f"{path}/batch={batch_id}").count()
+        batch.write.mode("overwrite").partitionBy(chunk).parquet(f"{path}/batch_id={batch_id}")
+        return batch.sparkSession.read.schema(chunks.schema).parquet(f"{path}/batch_id={batch_id}").count()
 
     run_to_end(chunks, progress.timed(write), "append")
-    written = spark.read.schema(chunks.schema).parquet(f"{path}/batch=*").select("*", F.col("_metadata.file_path").alias("_file"))
-    batch_id = F.regexp_extract("_file", r"/batch=(\d+)/", 1).cast("bigint")
-    sizes = written.groupBy(batch_id.alias("batch_id"), chunk).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(size)).alias("chars"))
+    written = spark.read.schema(StructType([*chunks.schema, StructField("batch_id", LongType())])).option("basePath", path).parquet(f"{path}/batch_id=*")
+    sizes = written.groupBy("batch_id", chunk).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(size)).alias("chars"))
     after = F.sum("n").over(Window.partitionBy("batch_id").orderBy(F.desc(chunk))) - F.col("n")
     return progress.table().join(sizes, "batch_id").select(
         chunk, F.col("n").alias("rows"), "chars", (F.col("rows_done") - after).alias("rows_done"),

@@ -163,7 +163,7 @@ def test_progress_of_a_repeated_batch_is_replaced(spark):
 
 
 def test_chunks_of_one_batch_have_a_row_each(spark):
-    rows = spark.range(23).select((F.col("id") / 5).cast("bigint").alias("chunk"), F.lit("abc").alias("content"))
+    rows = spark.range(23).select(F.floor(F.col("id") / 5).cast("bigint").alias("chunk"), F.lit("abc").alias("content"))
     folder = writers.write_chunks(rows, "test-progress")
     stream = counts.file_stream(counts.stream_session(spark), folder, rows.schema, files_per_batch=3)
     got = counts.chunk_progress(stream.sparkSession, stream, "chunk", "content").collect()
@@ -172,3 +172,16 @@ def test_chunks_of_one_batch_have_a_row_each(spark):
     assert len({r.seconds_a_row for r in got}) == 2  # two batches for five chunks
     done = sorted((r.rows_done, r.rows) for r in got)
     assert [d for d, _ in done] == [sum(n for _, n in done[: i + 1]) for i in range(5)]
+
+
+def test_a_part_of_many_files_is_one_batch(spark):
+    rows = [(i, f"a w{i % 3}  b", None if i % 5 == 4 else i % 5 - 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, line string, part int").repartition(6, "id")
+    got = counts.part_words(spark, df.drop("id"), "part", "line").collect()
+    assert {len(r.files) for r in got} != {1} and len({r.batch_id for r in got}) == 5
+    for value in (None, -1, 0, 1, 2):
+        name = "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
+        mine = [r for r in got if all(f"/part={name}/" in f for f in r.files)]
+        wanted = Counter(w for _, line, part in rows if part == value for w in line.split(" "))
+        assert len({r.batch_id for r in mine}) == 1 and {r.word: r.n for r in mine} == wanted
+    assert counts.part_words(spark, df.drop("id").limit(0), "part", "line").collect() == []
