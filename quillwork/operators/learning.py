@@ -228,10 +228,60 @@ def fold_in(model, ratings: DataFrame, user: str, item: str, rating: str, regula
     return sums.mapInArrow(solve, f"{user} {ratings.schema[user].dataType.simpleString()}, factors array<double>")
 
 
-def recommend_folded(model, factors: DataFrame, k: int, user: str, item: str, most_users: int = 1000) -> DataFrame:
+# Users and items whose scores are one array: it stays in the processor's cache.
+_USERS, _ITEMS = 256, 2048
+
+
+def _best_items(users: np.ndarray, batches, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of users, items and scores: the ``k`` best of all items in Arrow batches of ``id, features``, ties to the smaller item.
+
+    No score exceeds the product of the lengths of both vectors, so items, longest first, are multiplied only with the
+    users whose ``k``-th best score is not above that.
+    """
+    lengths = np.linalg.norm(users, axis=1)
+    least = np.full(len(users), -np.inf)  # the k-th best score so far
+    best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def merge(found):
+        place, item, score = (np.concatenate(c) for c in zip(best, *found))
+        order = np.lexsort((item, -score, place))
+        place = place[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        now = place, item[order], score[order]
+        full = rank == k - 1
+        least[place[full]] = now[2][full]
+        return tuple(c[rank < k] for c in now)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float)
+        norms = np.linalg.norm(vectors, axis=1)
+        order = np.argsort(-norms, kind="stable")
+        ids, vectors, norms = ids[order], vectors[order], norms[order]
+        for at in range(0, len(ids), _ITEMS):
+            block, names = vectors[at : at + _ITEMS], ids[at : at + _ITEMS]
+            open_ = np.flatnonzero(lengths * norms[at] * (1 + 1e-9) >= least)
+            found = []
+            for start in range(0, len(open_), _USERS):
+                places = open_[start : start + _USERS]
+                scores = users[places] @ block.T
+                bound = least[places]
+                if len(names) > k and np.isneginf(bound).any():
+                    bound = np.maximum(bound, np.partition(scores, -k, axis=1)[:, -k])
+                u, i = np.nonzero(scores >= bound[:, None])
+                found.append((places[u], names[i], scores[u, i]))
+            if found:
+                best = merge(found)
+    return best
+
+
+def recommend_folded(model, factors: DataFrame, k: int, user: str, item: str, most_users: int = 20_000) -> DataFrame:
     """``user, position, item, score``: the ``k`` best items of users with folded-in factors.
 
     The users asked about, ``most_users`` at a time, go to the items: each task gives its ``k`` best for every user.
+    Every item counts; those that cannot be among the best by their length are not multiplied.
     """
     session = factors.sparkSession
     asked = factors.orderBy(user).toArrow()
@@ -239,17 +289,13 @@ def recommend_folded(model, factors: DataFrame, k: int, user: str, item: str, mo
     out = None
     for start in range(0, asked.num_rows, most_users):
         part = asked.slice(start, most_users)
-        ids, vectors = part.column(user).to_pylist(), np.array(part.column("factors").to_pylist())
+        ids, vectors = part.column(user).to_numpy(), np.array(part.column("factors").to_pylist())
 
         def best(batches, ids=ids, vectors=vectors):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                scores = vectors @ np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float).T
-                items = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = [(u, items[j].item(), float(s[j])) for u, s in zip(ids, scores) for j in np.lexsort((items, -s))[:k]]
-                users, found, values = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(users, id_type), pa.array(found, pa.int32()), pa.array(values)], names=[user, item, "score"])
+            places, found, values = _best_items(vectors, batches, k)
+            for at in range(0, len(places), 10_000):
+                columns = (ids[places[at : at + 10_000]], id_type), (found[at : at + 10_000], pa.int32()), (values[at : at + 10_000], pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=[user, item, "score"])
 
         met = model.itemFactors.mapInArrow(best, f"{user} {kind}, {item} int, score double")
         out = met if out is None else out.unionByName(met)

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.linalg import Vectors
@@ -213,3 +214,19 @@ def test_vocabulary_options(spark):
     once = {(r.id, r.term): r.n for r in T.count_vectorize(df, "id", "t", 10, 1.0, binary=True).collect()}
     assert once == dict.fromkeys(got, 1)
     assert T.count_vectorize(df.limit(0), "id", "t", 10, 1.0).collect() == []
+
+
+def test_best_items_equal_all_scores_and_ties_go_to_the_smaller_item(spark):
+    rng = np.random.default_rng(3)
+    items = (rng.normal(size=(5000, 4)) * rng.gamma(1, 1, size=(5000, 1))).round(1)
+    ids, users = rng.permutation(5000), np.vstack([rng.normal(size=(300, 4)).round(1), np.zeros((1, 4))])
+    items[:900] = items[100]  # many equal scores
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(ids[i : i + 700], pa.int32()), pa.array(list(items[i : i + 700]), pa.list_(pa.float32()))], names=["id", "f"])
+        for i in range(0, 5000, 700)
+    ]
+    place, item, score = learning._best_items(users, batches, 3)
+    scores = users @ items.astype(np.float32).astype(float).T
+    for u in range(len(users)):
+        wanted = np.lexsort((ids, -scores[u].round(9)))[:3]
+        assert item[place == u].tolist() == ids[wanted].tolist() and np.allclose(score[place == u], scores[u][wanted])
