@@ -2,13 +2,16 @@
 
 import random
 import re
+from itertools import repeat
 
 import duckdb
+import pyarrow as pa
 import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
 from quillwork.functions import mentions as M
+from quillwork.functions import names
 from quillwork.functions.arrays import prefix_sums, scan
 from quillwork.operators import mentions as ops
 from quillwork.registry import ORACLES, QUERIES
@@ -179,3 +182,16 @@ def test_null_texts_and_an_empty_dictionary(spark, dictionary):
     for size in (1 << 25, 0):
         assert [r.id for r in ops.mention_rows(rows, "id", "text", dictionary, broadcast_bytes=size).collect()] == [3]
         assert ops.mention_rows(rows, "id", "text", dictionary.limit(0), broadcast_bytes=size).collect() == []
+
+
+def test_a_batch_is_walked_in_slices(monkeypatch):
+    seen, plain = [], names._spans
+    monkeypatch.setattr(names, "_spans", lambda t, l, tries: seen.append(len(t)) or plain(t, l, tries))
+    texts = pa.array([["one b"]] * 1000 + [None, [None, ""]], pa.list_(pa.string()))
+    trie = names.NameTrie([("one", "e", "n")])
+    spans = names.spans_in_lists(texts, texts, repeat(trie))
+    assert max(seen) <= 256 and sum(seen) == len(spans) == 1002
+    assert spans[999].as_py()[0][0]["text"] == "one" and spans[1000].as_py() == [] and spans[1001].as_py() == [[], []]
+    pieces = names.pieces_in_lists(texts, texts, repeat(trie), carried=True)
+    assert [(p["kind"], p["text"], p["start"], p["entity_id"]) for p in pieces[999].as_py()[0]] == [("link", "one", 0, "e"), ("text", " b", 3, None)]
+    assert pieces[1001].as_py() == [[], []] and len(names.pieces_in_lists(texts[:0], texts[:0], repeat(trie))) == 0
