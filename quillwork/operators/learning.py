@@ -29,6 +29,8 @@ from quillwork.operators.lookups import lookup_join
 from quillwork.operators.metrics import accuracy, weighted_f1
 
 SEED = 42
+# Ratings of a block of users or items, which one task holds as arrays.
+RATINGS_A_BLOCK = 3_000_000
 COUNTS = ["n_chars", "n_words", "n_lines", "n_digits", "n_marks"]
 
 
@@ -178,9 +180,16 @@ def kmeans_sweep(points: DataFrame, ks: range, features: str = "features") -> Da
 
 
 def als_model(ratings: DataFrame, user: str, item: str, rating: str):
-    """Explicit-feedback factors; rows without an id cannot be placed and are left out first."""
+    """Explicit-feedback factors; rows without an id cannot be placed and are left out first.
+
+    The fit reads its ratings more than once, so they should be stored. Ten blocks of users and of items, and more
+    when a block would hold over ``RATINGS_A_BLOCK`` ratings.
+    """
     known = ratings.where(F.col(user).isNotNull() & F.col(item).isNotNull())
+    blocks = max(10, known.count() // RATINGS_A_BLOCK)
     als = ALS(
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
         maxIter=5,
         regParam=0.01,
         userCol=user,

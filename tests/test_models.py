@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillwork.operators import bayes, learning, metrics
 from quillwork.operators import textfeatures as T
+from quillwork.plans import models
 from quillwork.registry import QUERIES
 
 ROWS_ONLY = [
@@ -230,3 +231,8 @@ def test_best_items_equal_all_scores_and_ties_go_to_the_smaller_item(spark):
     for u in range(len(users)):
         wanted = np.lexsort((ids, -scores[u].round(9)))[:3]
         assert item[place == u].tolist() == ids[wanted].tolist() and np.allclose(score[place == u], scores[u][wanted])
+
+
+def test_ratings_are_joined_once_and_read_from_files(spark, sf):
+    plan = models._ratings(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Join" not in plan and "Aggregate" not in plan
