@@ -10,6 +10,7 @@ from quillwork.functions.stopwords import STOP_WORDS
 from quillwork.operators.lookups import lookup_join
 from quillwork.operators.positions import with_position
 from quillwork.sources.storage import durable
+from quillwork.sources.writers import write_fresh
 
 
 def tokenize(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
@@ -51,15 +52,18 @@ def hashing_tf(df: DataFrame, tokens: str, features: int = 20, out: str = "tf")
 def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """``key, term, tf, df, tfidf`` with idf = ln((documents + 1) / (df + 1)).
 
-    Postings are counted before anything else is shuffled. The document frequencies are joined back
-    by ``lookup_join``: a term found in very many documents is cut over several tasks.
+    Postings are counted before anything else is shuffled; rows that lie together by ``key`` are counted where they lie.
+    The document frequencies are joined back by ``lookup_join``: a term found in very many documents is cut over several tasks.
     """
     # an inner explode would compute the tokens a second time, to test them for emptiness
     terms = df.select(key, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
-    postings = durable(terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    postings = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = df.sparkSession.read.schema(postings.schema).parquet(write_fresh(postings, "postings"))
     frequencies = durable(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     documents = df.count()
-    joined = lookup_join(postings, frequencies, ["term"], spread=[key], how="inner")
+    joined = lookup_join(
+        postings, frequencies, ["term"], spread=[key], how="inner", counts=frequencies.withColumnRenamed("df", "_n")
+    )
     idf = F.log((F.lit(documents) + 1.0) / (F.col("df") + 1.0))
     return joined.select(key, "term", "tf", "df", (F.col("tf") * idf).alias("tfidf"))
 

@@ -95,7 +95,10 @@ def text_hashing_tf(spark, sf):
         FROM p JOIN d USING (term)""",
 )
 def text_tfidf(spark, sf):
-    return T.tfidf(_tokens(spark, sf), "doc_id", "tokens").withColumn("tfidf", F.round("tfidf", 6))
+    # texts are dealt by document before they are cut, as they are smaller than their words
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return T.tfidf(T.tokenize(docs, "text").drop("text"), "doc_id", "tokens").withColumn("tfidf", F.round("tfidf", 6))
 
 
 @query(

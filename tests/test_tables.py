@@ -148,3 +148,12 @@ def test_no_machine_local_folder_on_a_cluster():
         storage.shared_folder(fake_session("spark://host:7077"))
     local = fake_session("local[2]")
     assert storage.shared_folder(local) == storage.shared_folder(local)
+
+
+def test_known_counts_are_not_counted_again_and_small_shares_are_hashed(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, v int")
+    right = spark.createDataFrame([("a", 10), ("c", 30)], "k string, w int")
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    joined = lookup_join(left, right, ["k"], spread=["v"], broadcast_bytes=0, counts=counts)
+    assert "shuffled" in joined._jdf.queryExecution().executedPlan().toString().lower() and "SortMergeJoin" not in str(joined._jdf.queryExecution().executedPlan())
+    assert sorted((r.v, r.w) for r in joined.collect()) == [(1, 10), (2, 10), (3, None), (4, None)]
