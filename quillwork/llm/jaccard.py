@@ -198,7 +198,11 @@ def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def block_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows for ``open_groups`` from pairs x, y of groups; they are dealt by y, as one x may be paired with very many."""
+    """Rows for ``open_groups`` from pairs x, y of groups; they are dealt by y, as one x may be paired with very many.
+
+    A skewed join is cut into many pieces of one size; neighbouring ones go to one task, as a task of few rows costs more than they do.
+    """
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = ("ids", "sizes", "tokens")
     own = pairs.where("x = y").join(blocks.withColumnRenamed("g", "x"), "x").select(
         *cells, *[F.lit(None).cast("binary").alias(f"o_{c}") for c in cells]
@@ -208,7 +212,7 @@ def block_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
         .join(blocks.toDF("y", *[f"o_{c}" for c in cells]), "y")
         .select(*cells, *[f"o_{c}" for c in cells])
     )
-    return own.unionByName(two)
+    return own.coalesce(width).unionByName(two.coalesce(width))
 
 
 def unsettled(pairs: DataFrame, member: DataFrame, matrix: DataFrame, found: DataFrame) -> DataFrame:
