@@ -34,7 +34,7 @@ class Forest:
         return True
 
 
-def _contract(batches):
+def contract(batches):
     """The links of one task as links to the smallest number of each group they form."""
     forest = Forest()
     for batch in batches:
@@ -48,15 +48,16 @@ def _contract(batches):
         )
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, contracted: bool = False) -> DataFrame:
     """``id, component`` for every number in ``links`` (columns a, b): the smallest number it reaches.
 
     Links of a number to itself do nothing; numbers without links have no row. Each task first
-    contracts its own links, then large-star and small-star steps alternate until nothing changes.
+    contracts its own links, unless the tasks that made them have ``contracted`` them; then large-star and small-star steps alternate until nothing changes.
     Every step writes its table to the shared folder, so a lost executor costs one step at most.
     """
     pairs = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b")
-    edges, seen = stored(pairs.mapInArrow(_contract, "a long, b long").where("a <> b"), "links"), None
+    own = pairs if contracted else pairs.mapInArrow(contract, "a long, b long").where("a <> b")
+    edges, seen = stored(own, "links"), None
     while True:
         state = edges.agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.lit(0)).alias("h")

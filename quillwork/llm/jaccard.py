@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillwork.llm.bitmaps import bitmap, contains
 from quillwork.llm.common import slices, stored
-from quillwork.llm.components import Forest, components
+from quillwork.llm.components import Forest, components, contract
 from quillwork.llm.hashing import by_bytes, shingles
 from quillwork.llm.registry import llm_query
 from quillwork.sources.tables import table
@@ -147,7 +147,7 @@ def group_blocks(sets: DataFrame) -> DataFrame:
 
 def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
     """Links between classes from rows of two blocks (ids, sizes, tokens and the other's o_ids, o_sizes,
-    o_tokens); a group paired with itself has no other block."""
+    o_tokens); a group paired with itself has no other block. Each task contracts the links it finds."""
 
     def links_of(left, right, own: bool):
         """Each left set against the group on the right; sets already joined are not linked twice."""
@@ -185,7 +185,7 @@ def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
         cuts = np.cumsum(np.frombuffer(sizes, dtype=np.int64))[:-1]
         return list(zip(np.frombuffer(ids, dtype=np.int64).tolist(), np.split(np.frombuffer(tokens, dtype=np.uint64), cuts)))
 
-    def run(batches):
+    def found_in(batches):
         for batch in slices(batches, 64):
             found = []
             for *one, o_ids, o_sizes, o_tokens in zip(*(c.to_pylist() for c in batch.columns)):
@@ -194,6 +194,9 @@ def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
+    def run(batches):
+        return contract(found_in(batches))
+
     return pairs.mapInArrow(run, "a long, b long")
 
 
@@ -321,10 +324,10 @@ def jaccard_components(
     # still link two components, which for a large group of near-copies are few
     nearest = pairs.where("x < y").groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x")).select("x", "y")
     first = stored(pairs.where("x = y").select("x", "y").unionByName(nearest), "pairs")
-    begun = components(open_groups(block_pairs(blocks, first), percent))
+    begun = components(open_groups(block_pairs(blocks, first), percent), contracted=True)
     rest = stored(unsettled(pairs.select("x", "y", "few").join(first, ["x", "y"], "left_anti"), member, matrix, begun), "pairs")
     begun_links = begun.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    found = components(begun_links.unionByName(open_groups(block_pairs(blocks, rest), percent)))
+    found = components(begun_links.unionByName(open_groups(block_pairs(blocks, rest), percent)), contracted=True)
     ids = full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "id")
     # a doc_id that several texts share joins their classes
     own = ids.groupBy("doc_id").agg(F.min("id").alias("id"))

@@ -48,3 +48,14 @@ def test_a_skewed_join_of_blocks_makes_no_swarm_of_tasks(spark, settings):
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert dealt.rdd.getNumPartitions() <= 2 * width
     assert dealt.count() == 299
+
+
+def test_links_of_a_task_are_contracted_where_they_are_found(spark):
+    sets = {i: set(range(1, 101)) | {1000 + i} for i in range(30)} | {99: {7}}
+    pairs = spark.createDataFrame([(x, y) for x in range(30) for y in range(x + 1, 30)] + [(0, 99)], "x long, y long")
+    found = open_groups(block_pairs(_blocks(spark, sets), pairs).coalesce(1), 85)
+    rows = found.collect()
+    assert len({r["a"] for r in rows}) == len(rows) and {r["b"] for r in rows} == {0}
+    for contracted in (False, True):
+        got = {r["id"]: r["component"] for r in components(found, contracted).collect()}
+        assert got == {i: 0 for i in range(30)}
