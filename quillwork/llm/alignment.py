@@ -78,17 +78,19 @@ class Tokens:
     b: np.ndarray
     b_ends: np.ndarray
 
-    def shared(self) -> np.ndarray:
-        return np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
+    def met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where both sides end; where one does, which ends the stretches that are one link each; the links' id pairs.
 
-    def points(self) -> np.ndarray:
-        """Ends of the stretches over which neither side ends: each is one link."""
-        return np.union1d(self.a_ends, self.b_ends)
-
-    def links(self, points: np.ndarray) -> np.ndarray:
-        """The id pair of each link: the a id above, the b id in the lower bits."""
-        a = self.a[np.searchsorted(self.a_ends, points)].astype(np.int64)
-        return a << _SHIFT | self.b[np.searchsorted(self.b_ends, points)].astype(np.int64)
+        In a pair the a id stands above, the b id in the lower bits.
+        """
+        marks = np.zeros((2, max(int(x[-1]) if len(x) else 0 for x in (self.a_ends, self.b_ends)) + 1), dtype=bool)
+        marks[0, self.a_ends] = True
+        marks[1, self.b_ends] = True
+        points = np.flatnonzero(marks[0] | marks[1])
+        a_here, b_here = marks[0, points], marks[1, points]
+        # a point belongs to the token of each side that ends there or next
+        a, b = self.a[np.cumsum(a_here) - a_here], self.b[np.cumsum(b_here) - b_here]
+        return points[a_here & b_here], points, a << _SHIFT | b
 
 
 def rendered(a: list[str], a_cuts: list[int], b: list[str], b_cuts: list[int]) -> list[str]:
@@ -243,19 +245,27 @@ class Aligner:
         if doubtful:
             tokens, _ = self.tokens(known)
         ends = np.cumsum(np.array([len(w.encode()) + 1 for w in known], dtype=np.int64))
-        shared, points = tokens.shared(), tokens.points()
+        shared, points, links = tokens.met()
         at = [np.searchsorted(x, ends, "right") for x in (tokens.a_ends, tokens.b_ends, shared, points)]
         none = np.zeros(len(unspelled), dtype=np.int64)
         n_a, n_b, n_groups = (np.concatenate([np.diff(x, prepend=0), none]) for x in at[:3])
         place = {w: i for i, w in enumerate(known + unspelled)}
         return Words(
-            place, set(range(len(known), len(place))), n_a, n_b, n_groups, tokens.links(points),
+            place, set(range(len(known), len(place))), n_a, n_b, n_groups, links,
             np.concatenate([at[3], none + len(points)]), self._texts(tokens, shared, ends) + [""] * len(unspelled) if texts else [],
         )
 
 
 def words_of(texts: list[str]) -> list[list[str]]:
-    return [_CUT.split(t) if t else [] for t in texts]
+    """Each text cut at its single blanks between visible characters; where all blanks are such, the plain split does that."""
+    out = []
+    for text in texts:
+        line = text.replace("\n", "n")
+        if " ".join(line.split()) == line and " \n" not in text and "\n " not in text:
+            out.append(text.split(" ") if text else [])
+        else:
+            out.append(_CUT.split(text))
+    return out
 
 
 def count_links(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -335,11 +345,14 @@ def _whole_documents(docs: DataFrame, a_path: str, b_path: str, counts) -> DataF
             cut = words_of(text_list(batch.column(2)))
             words = aligner.words(list(dict.fromkeys(chain.from_iterable(cut))))
             count, best, here = known.look_up(words.links)
-            sums = np.array([words.n_a, words.n_b, words.n_groups, words.n_links, words.sums(best), words.sums(count)])
             partial, ends, text = not here.all(), [0, *words.link_ends.tolist()], words.text
+            places = [list(map(words.place.__getitem__, own)) for own in cut]
+            flat = np.fromiter(chain.from_iterable(places), dtype=np.int64)
+            edges = np.concatenate([[0], np.cumsum([len(at) for at in places])]).astype(np.int64)
+            facts = (words.n_a, words.n_b, words.n_groups, words.n_links, words.sums(best), words.sums(count))
+            sums = np.array([np.diff(np.concatenate([[0], np.cumsum(x[flat])])[edges]) for x in facts]).T.tolist()
             rows = []
-            for uid, key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cut):
-                at = list(map(words.place.__getitem__, own))
+            for uid, key, at, total in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), places, sums):
                 if not at or (words.unspelled and not words.unspelled.isdisjoint(at)):
                     rows.append((uid, key, 0, 0, 0, 0, 0, 0, "", []))
                     continue
@@ -348,7 +361,7 @@ def _whole_documents(docs: DataFrame, a_path: str, b_path: str, counts) -> DataF
                     spans = [slice(ends[i], ends[i + 1]) for i in at]
                     rest = _rest_of(np.concatenate([words.links[x][~here[x]] for x in spans]))
                 digest = hashlib.sha256("".join([text[i] for i in at])[:-1].encode()).hexdigest()
-                rows.append((uid, key, *sums[:, at].sum(axis=1).tolist(), digest, rest))
+                rows.append((uid, key, *total, digest, rest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
@@ -396,7 +409,7 @@ def _fragments(pieces: DataFrame, a_path: str, b_path: str, counts, range_bytes:
             for uid, key, start, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = _CUT.split(text)
                 tokens, fine = aligner.tokens([" ".join(words[i : i + 64]) for i in range(0, len(words), 64)])
-                links = tokens.links(tokens.points())
+                links = tokens.met()[2]
                 count, best, here = known.look_up(links)
                 sums = (len(tokens.a), len(tokens.b), len(links), int(best.sum()), int(count.sum()), not all(fine))
                 rest = _rest_of(links[~here])

@@ -59,3 +59,26 @@ def test_links_of_a_task_are_contracted_where_they_are_found(spark):
     for contracted in (False, True):
         got = {r["id"]: r["component"] for r in components(found, contracted).collect()}
         assert got == {i: 0 for i in range(30)}
+
+
+def test_ends_of_two_sides_meet():
+    r = random.Random(7)
+    for case in range(40):
+        last = r.randint(1, 60)
+        a, b = ([*sorted(r.sample(range(1, last), r.randint(0, last - 1))), last] for _ in range(2))
+        tokens = alignment.Tokens(*(np.array(x, dtype=np.int64) for x in ([5 + i for i in a], a, [900 + i for i in b], b)))
+        shared, points, links = tokens.met()
+        assert shared.tolist() == sorted({*a} & {*b}) and points.tolist() == sorted({*a} | {*b})
+        over = [(5 + min(x for x in a if x >= p)) << 32 | 900 + min(x for x in b if x >= p) for p in points.tolist()]
+        assert links.tolist() == over
+    none = np.empty(0, dtype=np.int64)
+    assert all(len(x) == 0 for x in alignment.Tokens(none, none, none, none).met())
+
+
+def test_words_are_cut_at_single_blanks_only():
+    r = random.Random(8)
+    odd = [" ", " ", "\n", "\t", " ", "　", "\x1c", "\x85", "a", "é", "n", "​", "bc"]
+    texts = ["", " ", "\n", "a", "a b", "a\nb c", "a \nb", "a\n b", " a", "a ", "\na b\n", "a  b"]
+    texts += ["".join(r.choice(odd) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    want = [alignment._CUT.split(t) if t else [] for t in texts]
+    assert alignment.words_of(texts) == want
