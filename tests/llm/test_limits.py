@@ -61,6 +61,19 @@ def test_links_of_a_task_are_contracted_where_they_are_found(spark):
         assert got == {i: 0 for i in range(30)}
 
 
+def test_entries_of_one_rank_are_the_repeats():
+    r = random.Random(6)
+    strings = ["".join(r.choice("ab") for _ in range(r.randint(24, 90))).encode() for _ in range(60)] + [b"a" * 80, b"ab" * 40]
+    strings += strings[:3]
+    for depth in (8, 11, 16, 24):
+        shard, data = Shard(strings, depth), b"".join(strings)
+        for k in range(1, len(shard.array)):
+            i, j = int(shard.array[k - 1]), int(shard.array[k])
+            one, two = data[i : i + depth], data[j : j + depth]
+            common = next((n for n in range(depth) if one[n] != two[n]), depth)
+            assert one <= two and shard.common[k] == common and shard.same[k] == (one == two)
+
+
 def test_ends_of_two_sides_meet():
     r = random.Random(7)
     for case in range(40):
