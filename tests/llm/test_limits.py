@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quillwork.llm import alignment
 from quillwork.llm.components import components
@@ -39,14 +38,13 @@ def test_a_skewed_join_of_blocks_makes_no_swarm_of_tasks(spark, settings):
     settings(
         spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__coalescePartitions__enabled="false",
         spark__sql__adaptive__advisoryPartitionSizeInBytes="16k", spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="16k",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5", spark__sql__shuffle__partitions="40",
     )
     rng = np.random.default_rng(1)
     blocks = _blocks(spark, {i: set(rng.integers(1, 1 << 60, 400).tolist()) for i in range(300)}).repartition(40)
     pairs = spark.createDataFrame([(x, 299) for x in range(299)], "x long, y long").repartition(40)
     dealt = block_pairs(blocks, pairs)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert dealt.rdd.getNumPartitions() <= 2 * width
+    assert dealt.rdd.getNumPartitions() <= 80
     assert dealt.count() == 299
 
 
