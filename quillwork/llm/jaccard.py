@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm.bitmaps import bitmap, contains
-from quillwork.llm.common import slices, stored
+from quillwork.llm.common import small_batches, stored
 from quillwork.llm.components import Forest, components, contract
 from quillwork.llm.hashing import by_bytes, shingles
 from quillwork.llm.registry import llm_query
@@ -27,6 +27,8 @@ from quillwork.sources.tables import table
 
 #: Classes in a group.
 GROUP_CLASSES = 256
+#: Tokens of a group's sets, so that a block of very long texts has a largest size, too.
+GROUP_TOKENS = 1_000_000
 #: Tokens that similar sets must share among their first ones, if they have so many; each makes the first ones one longer.
 SHARED_FIRST = 3
 #: Tokens counted more often than this are frequent.
@@ -181,16 +183,18 @@ def open_groups(pairs: DataFrame, percent: int) -> DataFrame:
                     out.append((a, ids[j]))
         return out
 
-    def members(ids, sizes, tokens):
-        cuts = np.cumsum(np.frombuffer(sizes, dtype=np.int64))[:-1]
-        return list(zip(np.frombuffer(ids, dtype=np.int64).tolist(), np.split(np.frombuffer(tokens, dtype=np.uint64), cuts)))
+    def members(cells):
+        """Ids and sets of a block, read where they lie in the batch."""
+        ids, sizes, tokens = (np.frombuffer(c.as_buffer(), dtype=kind) for c, kind in zip(cells, (np.int64, np.int64, np.uint64)))
+        return list(zip(ids.tolist(), np.split(tokens, np.cumsum(sizes)[:-1])))
 
     def found_in(batches):
-        for batch in slices(batches, 64):
+        for batch in batches:
             found = []
-            for *one, o_ids, o_sizes, o_tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                left = members(*one)
-                found += links_of(left, left, True) if o_ids is None else links_of(left, members(o_ids, o_sizes, o_tokens), False)
+            for row in range(batch.num_rows):
+                cells = [c[row] for c in batch.columns]
+                left, own = members(cells[:3]), not cells[3].is_valid
+                found += links_of(left, left if own else members(cells[3:]), own)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
@@ -249,8 +253,12 @@ def jaccard_components(
     and link with nothing. Rows with the same doc_id are one document; a null doc_id has a null
     component. An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = _sets(docs, doc_id, text)
+    with small_batches(docs.sparkSession):  # all steps in Python run here; what is returned is joins
+        return _components(_sets(docs, doc_id, text), width, percent)
+
+
+def _components(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    spark = rows.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows, width, percent))
     signed = stored(signatures(rows, width, percent, frequent), "signatures")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
@@ -259,8 +267,9 @@ def jaccard_components(
     # similar sets have sizes of one band or of neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     crowded = stored(
-        heads.groupBy("head", band.alias("_band")).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > GROUP_CLASSES)
-        .select("head", "_band", F.ceil(F.col("_k") / GROUP_CLASSES).cast("int").alias("_cuts")),
+        heads.groupBy("head", band.alias("_band"))
+        .agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP_CLASSES, F.sum("n") / GROUP_TOKENS)).cast("int").alias("_cuts"))
+        .where("_cuts > 1"),
         "crowded",
     )
 
@@ -319,7 +328,9 @@ def jaccard_components(
     hashed = rows.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
     sets = hashed.mapInArrow(tokens, "id long, n long, head long, tokens binary").where("n > 0")
     placed = grouped(sets, "id").select("g", "id", "tokens").join(groups, "g", "left_semi")
-    blocks = stored(group_blocks(placed), "blocks")
+    # the writer looks at a page's size after each row, as a hundred blocks would be a page of very many bytes; zstd
+    # needs no buffers of a page's size outside the heap, which the default codec keeps
+    blocks = stored(group_blocks(placed), "blocks", compression="zstd", **{"parquet.page.size.row.check.min": 1})
     # each group meets itself and the one it shares most with; of the other pairs, those are opened that may
     # still link two components, which for a large group of near-copies are few
     nearest = pairs.where("x < y").groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x")).select("x", "y")

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillwork.llm import alignment
+from quillwork.llm import alignment, jaccard
+from quillwork.llm.common import small_batches
 from quillwork.llm.components import components
-from quillwork.llm.jaccard import block_pairs, open_groups
+from quillwork.llm.jaccard import block_pairs, jaccard_components, open_groups
 from quillwork.llm.suffixes import Shard
 
 
@@ -59,6 +61,52 @@ def test_links_of_a_task_are_contracted_where_they_are_found(spark):
         assert got == {i: 0 for i in range(30)}
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_batches_are_small_inside_only(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    wide = spark.range(0, 300, 1, 1).selectExpr("repeat('x', 20000) AS t").mapInArrow(sizes, "n long")
+    assert wide.count() == 1
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 1 << 20):
+        inside = [r["n"] for r in wide.collect()]
+        1 / 0
+    assert len(inside) > 4 and max(inside) < 1.1 * (1 << 20)
+    assert spark.conf.get(BATCH_KEY, None) is None and wide.count() == 1
+    spark.conf.set(BATCH_KEY, "32m")
+    with small_batches(spark):
+        pass
+    assert spark.conf.get(BATCH_KEY) == "32m"
+    spark.conf.unset(BATCH_KEY)
+
+
+def test_similar_texts_meet_in_small_batches_and_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join([*base, f"x{i}", f"y{i}"])) for i in range(40)] + [(90, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, write = {}, jaccard.stored
+
+    def stored(df, label, **options):
+        seen.setdefault(label, []).append((spark.conf.get(BATCH_KEY, None), out := write(df, label, **options)))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    for tokens, least in ((jaccard.GROUP_TOKENS, 1), (40 * 400 // 8, 4)):
+        seen.clear()
+        monkeypatch.setattr(jaccard, "GROUP_TOKENS", tokens)
+        got = {x["doc_id"]: x["component_id"] for x in jaccard_components(docs, percent=80).collect()}
+        assert got == {i: 0 for i in range(40)} | {90: 90}
+        limits = {limit for calls in seen.values() for limit, _ in calls}
+        assert limits == {str(4 << 20)} and spark.conf.get(BATCH_KEY, None) is None
+        ((_, blocks),) = seen["blocks"]
+        assert blocks.count() >= least
+        assert blocks.selectExpr("max(length(tokens))").first()[0] < 8 * 402 * (41 if least == 1 else 20)
+
+
 def test_entries_of_one_rank_are_the_repeats():
     r = random.Random(6)
     strings = ["".join(r.choice("ab") for _ in range(r.randint(24, 90))).encode() for _ in range(60)] + [b"a" * 80, b"ab" * 40]
