@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import jaccard, mixing, packing, private, toxic
-from quillwork.llm.common import free_name, stored
+from quillwork.llm.common import free_name, small_batches, stored
 from quillwork.operators.positions import with_position
 from quillwork.sources.tables import table
 
@@ -24,8 +24,9 @@ PACKING_PIECES = 300_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under one half."""
-    scorer = toxic.fit(docs, table(spark, sf_dir, "labels"))
-    return toxic.keep_civil(docs, scorer)
+    with small_batches(spark):  # holds for jobs that run inside, so the texts are written here
+        scorer = toxic.fit(docs, table(spark, sf_dir, "labels"))
+        return stored(toxic.keep_civil(docs, scorer), "stage-toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by their kind; ``n_chars`` follows the text."""
-    masked = private.redact(docs, private.fit(docs))
+    with small_batches(spark):
+        masked = stored(private.redact(docs, private.fit(docs)), "stage-private_data")
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return masked
@@ -82,6 +84,9 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
+#: Stages that have written their rows when they return.
+WRITTEN = ("toxicity", "private_data")
+
 # Learned scores, group joins and tokenizers have no SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
@@ -90,5 +95,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stage(spark, docs, sf_dir)
+        if name not in WRITTEN:
+            docs = stored(docs, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillwork.llm.common import slices, stored, text_list
+from quillwork.llm.common import slices, small_batches, stored, text_list
 from quillwork.llm.encoding import KEPT_PIECES
 from quillwork.llm.encoding import encoder as encoder_of
 from quillwork.llm.registry import llm_query
@@ -185,7 +185,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, ranked_rows: int = RANKED_
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, kept: int = KEPT_PIECES) -> DataFrame:
     import public_tokenizers
 
-    pieces = stored(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, capacity, kept=kept), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stored(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, capacity, kept=kept), "pieces")
     return pack(pieces, capacity)
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillwork.llm import alignment, jaccard
+import corpus_pipeline
+from quillwork.llm import alignment, jaccard, packing
 from quillwork.llm.common import small_batches
 from quillwork.llm.components import components
 from quillwork.llm.jaccard import block_pairs, jaccard_components, open_groups
@@ -107,6 +108,21 @@ def test_similar_texts_meet_in_small_batches_and_blocks(spark, monkeypatch):
         assert blocks.selectExpr("max(length(tokens))").first()[0] < 8 * 402 * (41 if least == 1 else 20)
 
 
+def test_stages_send_texts_in_small_batches(spark, sf, monkeypatch):
+    seen = {}
+    for module in (corpus_pipeline, packing):
+        def stored(df, label, write=module.stored, **options):
+            seen[label] = spark.conf.get(BATCH_KEY, None)
+            return write(df, label, **options)
+
+        monkeypatch.setattr(module, "stored", stored)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.mask_private, corpus_pipeline.pack_sequences):
+        stage(spark, docs, sf)
+        assert spark.conf.get(BATCH_KEY, None) is None
+    assert seen == dict.fromkeys(("stage-toxicity", "stage-private_data", "pieces"), str(4 << 20))
+
+
 def test_entries_of_one_rank_are_the_repeats():
     r = random.Random(6)
     strings = ["".join(r.choice("ab") for _ in range(r.randint(24, 90))).encode() for _ in range(60)] + [b"a" * 80, b"ab" * 40]
