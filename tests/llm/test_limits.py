@@ -108,7 +108,7 @@ def test_similar_texts_meet_in_small_batches_and_blocks(spark, monkeypatch):
         assert blocks.selectExpr("max(length(tokens))").first()[0] < 8 * 402 * (41 if least == 1 else 20)
 
 
-def test_stages_send_texts_in_small_batches(spark, sf, monkeypatch):
+def test_stages_send_texts_in_small_batches(spark, tmp_path, monkeypatch):
     seen = {}
     for module in (corpus_pipeline, packing):
         def stored(df, label, write=module.stored, **options):
@@ -116,9 +116,10 @@ def test_stages_send_texts_in_small_batches(spark, sf, monkeypatch):
             return write(df, label, **options)
 
         monkeypatch.setattr(module, "stored", stored)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs = spark.createDataFrame([(i, f"call 0{i} of text {i}", "en", "src0", 20) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
     for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.mask_private, corpus_pipeline.pack_sequences):
-        stage(spark, docs, sf)
+        assert stage(spark, docs, str(tmp_path)).count() == 20
         assert spark.conf.get(BATCH_KEY, None) is None
     assert seen == dict.fromkeys(("stage-toxicity", "stage-private_data", "pieces"), str(4 << 20))
 
